@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import hilbert, mixing, token_counts
+from tarn.llm import classifiers, hilbert, hmm, mixing, ngram_join, token_counts
 from tarn.llm.shared import table
 
 
@@ -25,10 +25,30 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifiers.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifiers.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hilbert_sharding": op2_hilbert_sharding,
     "op4_token_counts": op4_token_counts,
     "op6_mix_sources": op6_mix_sources,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
+    "op9_hmm_scores": op9_hmm_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.SQL}
