@@ -26,6 +26,9 @@ HEAD = 300_000
 SYMBOLS = 6_000
 END, REST, FIRST_BUCKET, BUCKETS = 0, 1, 2, 40
 STATES, ROUNDS, SEGMENT = 6, 3, 128
+#: At first a state is kept with this probability, so that states find kinds of text; and the weight of the unigram
+#: distribution in emissions, against the mean count of a state.
+STAY, SMOOTH = 0.995, 0.4
 #: Words not in the head to a shard of the lookup.
 SHARD_TOKENS = 1_000_000
 LOG10 = float(np.log(10.0))
@@ -221,8 +224,8 @@ class Hmm:
         """Near the unigram distribution, each state leaning to other symbols, each rather staying than leaving."""
         rng = np.random.default_rng(9)
         emit = (unigram[:, None] * rng.gamma(2.0, 0.5, (len(unigram), states))) + 1e-9
-        step = np.full((states, states), 0.1 / max(states - 1, 1))
-        np.fill_diagonal(step, 0.9 if states > 1 else 1.0)
+        step = np.full((states, states), (1 - STAY) / max(states - 1, 1))
+        np.fill_diagonal(step, STAY if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), step, emit / emit.sum(0))
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
@@ -291,12 +294,11 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
     """Baum-Welch over all training texts, cut into segments of SEGMENT symbols.
 
     Each task sums the expected counts of its segments and returns them by symbol; Spark adds them, so what reaches the
-    driver is one row for each symbol. Emissions keep a small share of the unigram distribution.
+    driver is one row for each symbol. Emissions are smoothed by the unigram distribution.
     """
     spark = encoded.sparkSession
-    rest = max(vocab.n - vocab.ends - int(vocab.counts.sum()), 0) + 1.0
     unigram = np.bincount(vocab.symbol, weights=vocab.counts, minlength=vocab.n_symbols) + 0.01
-    unigram[END], unigram[REST] = vocab.ends + 0.5, rest
+    unigram[END], unigram[REST] = vocab.ends + 0.5, max(vocab.rest_mass, 0.5)
     unigram /= unigram.sum()
     model = Hmm.start(unigram, states)
     training = encoded.where(~F.col("held_out")).select("symbols")
@@ -320,7 +322,8 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
         got = training.mapInArrow(expect, kind).groupBy("symbol").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(states)]).toPandas()
         rows = np.zeros((vocab.n_symbols + states + 1, states))
         rows[got["symbol"].to_numpy(dtype=np.int64)] = got[kind.names[1:]].to_numpy(dtype=float)
-        emit, step, first = rows[: vocab.n_symbols] + 100 * unigram[:, None], rows[vocab.n_symbols : -1] + 1.0, rows[-1] + 1.0
+        emit, step, first = rows[: vocab.n_symbols], rows[vocab.n_symbols : -1] + 1.0, rows[-1] + 1.0
+        emit = emit + (SMOOTH * emit.sum() / states + 1.0) * unigram[:, None]
         model = Hmm(first / first.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
         sent.destroy()
     return model

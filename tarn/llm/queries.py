@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import classifiers, hilbert, hmm, mixing, ngram_join, token_counts
+from tarn.llm import classifiers, grid_join, hilbert, hmm, mixing, ngram_join, templates, token_counts
 from tarn.llm.shared import table
 
 
@@ -29,6 +29,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifiers.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
@@ -44,7 +52,9 @@ def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hilbert_sharding": op2_hilbert_sharding,
+    "op3_epsilon_grid_join": op3_epsilon_grid_join,
     "op4_token_counts": op4_token_counts,
+    "op5_template_decontamination": op5_template_decontamination,
     "op6_mix_sources": op6_mix_sources,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
