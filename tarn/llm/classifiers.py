@@ -195,27 +195,54 @@ def gathered(rows: DataFrame, features: Callable, valued: bool) -> list[tuple]:
     return [(y, np.frombuffer(f, dtype=np.int32 if valued else U64), np.frombuffer(v, dtype=np.float32)) for y, f, v in zip(*(got[c].to_pylist() for c in ("y", "f", "v")), strict=True)]
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float) -> DataFrame:
+Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def scored(docs: DataFrame, score: Score, threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs, in place."""
     thin = docs.select("doc_id", (remainder() == 0).alias("held_out"), F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = flat(b.column(2))
-            got = [score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in cut(offsets)]
-            p = np.concatenate(got) if got else np.zeros(0)
+            p = _scores(b.column(2), score)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = thin.schema["doc_id"].dataType.simpleString()
     return thin.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def passing(docs: DataFrame, score: Score, threshold: float) -> DataFrame:
+    """The rows of docs, all columns as they are, that score ``threshold`` or more; nothing is joined or shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column(at), score) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(texts: pa.Array, score: Score) -> np.ndarray:
+    data, offsets = flat(texts)
+    got = [score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in cut(offsets)]
+    return np.concatenate(got) if got else np.zeros(0)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MOST_ROWS, **options) -> DataFrame:
     """Probability that a text is of quality 1.
 
     Fits on about ``most`` labelled rows outside the held-out fold. Returns, for each row: doc_id, held_out, score,
     predicted. A null text is an empty one and scores the bias; without labels all score 0.5; repeated rows score alike.
     """
+    return scored(docs, quality_model(docs, labels, most, **options), threshold)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MOST_ROWS, **options) -> DataFrame:
+    """The documents, as they are, whose score is ``threshold`` or more; nulls and repeated rows as in score_quality."""
+    return passing(docs, quality_model(docs, labels, most, **options), threshold)
+
+
+def quality_model(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, **options) -> Score:
     rows = gathered(labelled(docs, labels, "quality", most), ngram_features, valued=True)
     model = Ftrl(**options).fit([(f, v.astype(np.float64)) for _, f, v in rows], np.array([y for y, _, _ in rows], dtype=float))
     weights, bias = model[:-1], float(model[-1])
@@ -224,7 +251,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
         row, index, value = ngram_features(data, offsets)
         return sigmoid(np.bincount(row, weights=weights[index] * value, minlength=len(offsets) - 1) + bias)
 
-    return scored(docs, score, threshold)
+    return score
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = MOST_ROWS, **options) -> DataFrame:

@@ -234,6 +234,16 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     return rows.join(known, "sid", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns as they are, without those that have a smaller id in their class.
+
+    Rows that repeat an id stay together, and rows without an id stay: nothing tells them apart.
+    """
+    classes = similar_sets(docs, n, percent)
+    gone = classes.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+
+
 def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) -> DataFrame:
     """(a, b) of linked sets: enough of them that their chains are those of all links."""
     spark = thin.sparkSession

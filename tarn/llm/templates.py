@@ -87,3 +87,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     found = joined.groupBy("doc_id", "text", "item").agg(F.count_distinct("hash").alias("matched"), F.max("m").alias("windows"), F.coalesce(F.max("n"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("other"), F.lit(0)).alias("changed"))
     share = F.col("matched") / F.col("windows")
     return found.where(share >= coverage - 1e-9).select("doc_id", F.col("item").alias("item_id"), "matched", "windows", share.alias("coverage"), "n_slots", "changed")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The documents, all columns as they are, without those that hold a benchmark item; rows without an id stay."""
+    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
