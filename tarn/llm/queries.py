@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import classifiers, grid_join, hilbert, hmm, mixing, ngram_join, templates, token_counts
+from tarn.llm import classifiers, grid_join, hilbert, hmm, mixing, ngram_join, repeats, templates, token_counts
 from tarn.llm.shared import table
 
 
@@ -49,6 +49,10 @@ def op9_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_hilbert_sharding": op2_hilbert_sharding,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_hmm_scores": op9_hmm_scores,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_mix_sources": mixing.SQL}

@@ -50,12 +50,14 @@ def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = new_path(spark, name)
     out = df.write.option("compression", "zstd")
     (out.partitionBy(*by) if by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._tarn_path = path
+    return got
 
 
 def path_of(df: DataFrame) -> str:
     """The folder of a table that ``written`` returned."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+    return df._tarn_path
 
 
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
