@@ -31,9 +31,8 @@ COUNTER_BITS = 22
 CHUNK = 1 << 16
 #: Bits of the filter that keeps the sets of texts without candidates from being sent; false positives cost time only.
 FILTER_WORDS = 1 << 20
-#: Regions up to this size compare all members that aren't linked yet; larger ones go on with pivots.
-SMALL_REGION = 48
-PIVOTS = 4
+#: Regions up to this size are compared inside a task, by sketches of SKETCH bytes for each member; larger ones go on with pivots.
+SMALL_REGION, SKETCH = 4096, 256
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -167,7 +166,11 @@ def _fits(a: str, b: str, percent: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, n: int, salt: int) -> DataFrame:
-    """(sid, shingles) of the sets with these ids; a bit filter of fixed size drops most others before anything is sent."""
+    """(sid, shingles, sketch) of the sets with these ids; a bit filter of fixed size drops most others before anything is sent.
+
+    The sketch counts the shingles of SKETCH classes by hash, up to 255: the differences between two sketches sum to no
+    more than the shingles that only one of the sets has.
+    """
     spark = docs.sparkSession
     slot = F.col("sid").bitwiseAND(F.lit((FILTER_WORDS << 6) - 1))
     bits = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sid & 63 as int))")).alias("b")).toArrow()
@@ -183,10 +186,75 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int, salt: int) -> DataFrame:
                 slots = sid & ((FILTER_WORDS << 6) - 1)
                 hit = ((filter_[slots >> 6] >> (slots & 63)) & 1).astype(bool) & (np.diff(at) > 0)
                 rows = [r for r in np.flatnonzero(hit).tolist() if not (int(sid[r]) in seen or seen.add(int(sid[r])))]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array([h[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], names=["sid", "shingles"])
+                sets = [h[at[r] : at[r + 1]] for r in rows]
+                sketches = [np.minimum(np.bincount((x >> U64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.binary())], names=["sid", "shingles", "sketch"])
+
+    got = docs.select("_text").mapInArrow(run, "sid long, shingles binary, sketch binary").join(ids, "sid", "left_semi")
+    return written(got.groupBy("sid").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")), "shingles")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule a link out."""
+    left, right = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("ka")), sets.select(F.col("sid").alias("b"), F.col("sketch").alias("kb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            get = lambda c: b.column(b.schema.get_field_index(c))
+            x, y = (np.frombuffer(b"".join(get(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("ka", "kb"))
+            keep = _near(np.abs(x - y).sum(1, dtype=np.int64), get("an").to_numpy().astype(np.int64) + get("bn").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([get(c).filter(pa.array(keep)) for c in ("a", "b", "an", "bn")], names=["a", "b", "an", "bn"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "ka", "kb").mapInArrow(run, "a long, b long, an int, bn int")
+
 
-    got = docs.select("_text").mapInArrow(run, "sid long, shingles binary").join(ids, "sid", "left_semi")
-    return written(got.groupBy("sid").agg(F.first("shingles").alias("shingles")), "shingles")
+def _near(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes together can be linked with so many shingles in only one of them: common >= p / (1 + p) * sizes."""
+    return apart * (100 + percent) <= sizes * (100 - percent)
+
+
+def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, an, bn): pairs of a cell's members, of different components, that neither sizes nor sketches rule out.
+
+    Rows stream by cell; a cell is held as a whole, its size is bounded by SMALL_REGION.
+    """
+    rows = cells.join(sets.select("sid", "sketch"), "sid").select("cell", "sid", "n", "comp", "sketch")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(sid, n, comp, sketch) -> pa.RecordBatch:
+        order = np.argsort(n, kind="stable")
+        sid, n, comp = sid[order], n[order].astype(np.int64), comp[order]
+        k = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, SKETCH)[order].astype(np.int16)
+        out = []
+        for i in range(len(sid) - 1):
+            end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # larger ones can't be linked
+            j = i + 1 + np.flatnonzero(comp[i + 1 : end] != comp[i])
+            if len(j):
+                j = j[_near(np.abs(k[j] - k[i]).sum(1, dtype=np.int64), n[j] + n[i], percent)]
+                out.append(np.stack([np.full(len(j), i), j]))
+        i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
+        swap = sid[i] > sid[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(sid[a]), pa.array(sid[b]), pa.array(n[a].astype(np.int32)), pa.array(n[b].astype(np.int32))], names=["a", "b", "an", "bn"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            cell, sid, n, comp = (b.column(c).to_numpy() for c in range(4))
+            sketch = b.column(4).to_pylist()
+            begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+            for p, q in zip(begin, np.r_[begin[1:], len(cell)], strict=True) if len(cell) else []:
+                part = (cell[p], sid[p:q], n[p:q], comp[p:q], sketch[p:q])
+                if held and held[0] == part[0]:
+                    held = (held[0], *[np.r_[x, y] for x, y in zip(held[1:4], part[1:4], strict=True)], held[4] + part[4])
+                else:
+                    if held:
+                        yield pairs(*held[1:])
+                    held = part
+        if held:
+            yield pairs(*held[1:])
+
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, an int, bn int").distinct()
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,7 +321,7 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) ->
     stars = pair(regions.where(F.col("sid") != F.col("pivot")).where(_fits("n", "pn", percent)).select(F.col("sid").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("xn"), F.col("pn").alias("yn")))
     stars = written(stars, "stars")
     shingles = _sets_of(thin, regions.select("sid").distinct(), n, salt)
-    done = [_overlaps(stars, shingles)]
+    done = [_overlaps(written(_alike(stars, shingles, percent), "stars"), shingles)]
     linked = lambda: reduce(DataFrame.unionByName, done).where(F.col("common") * 100 >= (F.col("an") + F.col("bn") - F.col("common")) * percent).select("a", "b")
     cells = regions.select(F.col("s").alias("cell"), "sid", "n")
     for depth in count():
@@ -262,17 +330,16 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) ->
         if not cells.limit(1).count():
             break
         few, many = cells.where(F.col("size") <= SMALL_REGION), cells.where(F.col("size") > SMALL_REGION)
-        x = few.select("cell", F.col("sid").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-        y = few.select("cell", F.col("sid").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-        todo = x.join(y, "cell").where((F.col("x") < F.col("y")) & (F.col("xc") != F.col("yc"))).where(_fits("xn", "yn", percent))
-        # the pivots: the first few by a hash, found by aggregation, not by sorting the cell
-        hashed = many.withColumn("rank", F.struct(F.xxhash64(F.lit(depth), "sid").alias("h"), "sid", "n"))
-        pivots = hashed.groupBy("cell").agg(F.min("rank").alias("p0"), F.max("rank").alias("p1"), F.min(F.struct(F.xxhash64(F.lit(-1 - depth), "sid").alias("h"), "sid", "n")).alias("p2"), F.max(F.struct(F.xxhash64(F.lit(-1 - depth), "sid").alias("h"), "sid", "n")).alias("p3"))
-        pivots = written(pivots.select("cell", F.explode(F.array_distinct(F.transform(F.array("p0", "p1", "p2", "p3"), lambda p: F.struct(p["sid"].alias("y"), p["n"].alias("yn"))))).alias("p")).select("cell", "p.*"), "pivots")
-        against = many.select("cell", F.col("sid").alias("x"), F.col("n").alias("xn")).join(pivots, "cell").where(F.col("x") != F.col("y"))
-        against = written(against, "against")
         known = reduce(DataFrame.unionByName, done).select("a", "b")
-        new = pair(todo.select("x", "y", "xn", "yn").unionByName(against.select("x", "y", "xn", "yn"))).join(known, ["a", "b"], "left_anti")
+        done.append(_overlaps(written(_compared(few, shingles, percent).join(known, ["a", "b"], "left_anti"), "pairs"), shingles))
+        if not many.limit(1).count():
+            break
+        # pivots: the first and last by two hashes, found by aggregation, not by sorting the cell
+        rank = lambda k: F.struct(F.xxhash64(F.lit(k), "sid").alias("h"), "sid", "n")
+        pivots = many.groupBy("cell").agg(*[f(rank(k)).alias(f"p{i}") for i, (f, k) in enumerate(((F.min, depth), (F.max, depth), (F.min, -1 - depth), (F.max, -1 - depth)))])
+        pivots = written(pivots.select("cell", F.explode(F.array_distinct(F.transform(F.array("p0", "p1", "p2", "p3"), lambda p: F.struct(p["sid"].alias("y"), p["n"].alias("yn"))))).alias("p")).select("cell", "p.*"), "pivots")
+        against = written(many.select("cell", F.col("sid").alias("x"), F.col("n").alias("xn")).join(pivots, "cell").where(F.col("x") != F.col("y")), "against")
+        new = pair(against.select("x", "y", "xn", "yn")).join(reduce(DataFrame.unionByName, done).select("a", "b"), ["a", "b"], "left_anti")
         done.append(_overlaps(written(new, "pairs"), shingles))
         cells = _cells(many, against, pivots, reduce(DataFrame.unionByName, done), percent)
     return written(linked(), "links")
