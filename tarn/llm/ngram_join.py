@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.shared import written
+from tarn.llm.shared import drop, path_of, release, written
 from tarn.llm.text import U64, cut, distinct, flat, mix, windows, words
 
 #: Counters that estimate how often shingles occur; they only set the order, so that collisions cost time, never links.
@@ -165,11 +165,12 @@ def _fits(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, n: int, salt: int) -> DataFrame:
-    """(sid, shingles, sketch) of the sets with these ids; a bit filter of fixed size drops most others before anything is sent.
+def _sets_of(docs: DataFrame, ids: DataFrame, n: int, salt: int, sketch: bool) -> DataFrame:
+    """(sid, set) of the sets with these ids: the sorted shingles, or a sketch of them.
 
-    The sketch counts the shingles of SKETCH classes by hash, up to 255: the differences between two sketches sum to no
-    more than the shingles that only one of the sets has.
+    A bit filter of fixed size drops most others before anything is sent. The sketch counts the shingles of SKETCH
+    classes by hash, up to 255: the differences between two sketches sum to no more than the shingles that only one of
+    the sets has.
     """
     spark = docs.sparkSession
     slot = F.col("sid").bitwiseAND(F.lit((FILTER_WORDS << 6) - 1))
@@ -187,16 +188,17 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int, salt: int) -> DataFrame:
                 hit = ((filter_[slots >> 6] >> (slots & 63)) & 1).astype(bool) & (np.diff(at) > 0)
                 rows = [r for r in np.flatnonzero(hit).tolist() if not (int(sid[r]) in seen or seen.add(int(sid[r])))]
                 sets = [h[at[r] : at[r + 1]] for r in rows]
-                sketches = [np.minimum(np.bincount((x >> U64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(sketches, pa.binary())], names=["sid", "shingles", "sketch"])
+                if sketch:
+                    sets = [np.minimum(np.bincount((x >> U64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "set"])
 
-    got = docs.select("_text").mapInArrow(run, "sid long, shingles binary, sketch binary").join(ids, "sid", "left_semi")
-    return written(got.groupBy("sid").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")), "shingles")
+    got = docs.select("_text").mapInArrow(run, "sid long, set binary").join(ids, "sid", "left_semi")
+    return written(got.groupBy("sid").agg(F.first("set").alias("set")), "sketches" if sketch else "shingles")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches do not rule a link out."""
-    left, right = sets.select(F.col("sid").alias("a"), F.col("sketch").alias("ka")), sets.select(F.col("sid").alias("b"), F.col("sketch").alias("kb"))
+    left, right = sketches.select(F.col("sid").alias("a"), F.col("set").alias("ka")), sketches.select(F.col("sid").alias("b"), F.col("set").alias("kb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,12 +215,12 @@ def _near(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return apart * (100 + percent) <= sizes * (100 - percent)
 
 
-def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compared(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b, an, bn): pairs of a cell's members, of different components, that neither sizes nor sketches rule out.
 
     Rows stream by cell; a cell is held as a whole, its size is bounded by SMALL_REGION.
     """
-    rows = cells.join(sets.select("sid", "sketch"), "sid").select("cell", "sid", "n", "comp", "sketch")
+    rows = cells.join(sketches, "sid").select("cell", "sid", "n", "comp", "set")
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pairs(sid, n, comp, sketch) -> pa.RecordBatch:
@@ -257,9 +259,10 @@ def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, an int, bn int").distinct()
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, an, bn, common) of distinct pairs."""
-    left, right = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb"))
+def _overlaps(pairs: DataFrame, docs: DataFrame, n: int, salt: int) -> DataFrame:
+    """(a, b, an, bn, common) of distinct pairs; the texts are read once more for the sets of these pairs only."""
+    sets = _sets_of(docs, pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), n, salt, sketch=False)
+    left, right = sets.select(F.col("sid").alias("a"), F.col("set").alias("sa")), sets.select(F.col("sid").alias("b"), F.col("set").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -268,7 +271,10 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([get("a"), get("b"), get("an"), get("bn"), pa.array(common, pa.int32())], names=["a", "b", "an", "bn", "common"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "sa", "sb")
-    return written(joined.mapInArrow(run, "a long, b long, an int, bn int, common int"), "overlaps")
+    got = written(joined.mapInArrow(run, "a long, b long, an int, bn int, common int"), "overlaps")
+    drop(docs.sparkSession, path_of(sets))
+    release(docs.sparkSession)
+    return got
 
 
 def _distance():
@@ -320,8 +326,9 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) ->
     pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("an"), F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("bn")).distinct()
     stars = pair(regions.where(F.col("sid") != F.col("pivot")).where(_fits("n", "pn", percent)).select(F.col("sid").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("xn"), F.col("pn").alias("yn")))
     stars = written(stars, "stars")
-    shingles = _sets_of(thin, regions.select("sid").distinct(), n, salt)
-    done = [_overlaps(written(_alike(stars, shingles, percent), "stars"), shingles)]
+    release(spark)
+    sketches = _sets_of(thin, regions.select("sid").distinct(), n, salt, sketch=True)
+    done = [_overlaps(written(_alike(stars, sketches, percent), "stars"), thin, n, salt)]
     linked = lambda: reduce(DataFrame.unionByName, done).where(F.col("common") * 100 >= (F.col("an") + F.col("bn") - F.col("common")) * percent).select("a", "b")
     cells = regions.select(F.col("s").alias("cell"), "sid", "n")
     for depth in count():
@@ -331,7 +338,9 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) ->
             break
         few, many = cells.where(F.col("size") <= SMALL_REGION), cells.where(F.col("size") > SMALL_REGION)
         known = reduce(DataFrame.unionByName, done).select("a", "b")
-        done.append(_overlaps(written(_compared(few, shingles, percent).join(known, ["a", "b"], "left_anti"), "pairs"), shingles))
+        new = written(_compared(few, sketches, percent).join(known, ["a", "b"], "left_anti"), "pairs")
+        if new.limit(1).count():
+            done.append(_overlaps(new, thin, n, salt))
         if not many.limit(1).count():
             break
         # pivots: the first and last by two hashes, found by aggregation, not by sorting the cell
@@ -340,7 +349,7 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) ->
         pivots = written(pivots.select("cell", F.explode(F.array_distinct(F.transform(F.array("p0", "p1", "p2", "p3"), lambda p: F.struct(p["sid"].alias("y"), p["n"].alias("yn"))))).alias("p")).select("cell", "p.*"), "pivots")
         against = written(many.select("cell", F.col("sid").alias("x"), F.col("n").alias("xn")).join(pivots, "cell").where(F.col("x") != F.col("y")), "against")
         new = pair(against.select("x", "y", "xn", "yn")).join(reduce(DataFrame.unionByName, done).select("a", "b"), ["a", "b"], "left_anti")
-        done.append(_overlaps(written(new, "pairs"), shingles))
+        done.append(_overlaps(written(new, "pairs"), thin, n, salt))
         cells = _cells(many, against, pivots, reduce(DataFrame.unionByName, done), percent)
     return written(linked(), "links")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import drop, path_of, text_or_empty, written
+from tarn.llm.shared import drop, path_of, release, text_or_empty, written
 from tarn.llm.suffixes import joined, permuted_reach, suffix_array
 from tarn.llm.text import _BYTE, POWERS, U64, cut, flat, mix
 
@@ -292,12 +292,12 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     rows = written(whole.select("_id", "place", "sha", "unit", F.octet_length("_text").cast("long").alias("n_bytes")), "rows")
     owners = written(rows.groupBy("sha", "unit").agg(F.min("place").alias("owner")), "owners")
     shared = _shared(whole, shards, length, min(GRAM, length))
-    _release(spark)
+    release(spark)
     wanted = shared.join(owners, "unit").select("owner", "unit", "codes")
     texts = whole.select("place", "unit", "_text").join(wanted.withColumnsRenamed({"unit": "u"}), (F.col("place") == F.col("owner")) & (F.col("unit") == F.col("u"))).select("owner", "unit", "_text", "codes")
     spans = _covered(texts, shards, length, min(GRAM, length))
     drop(spark, path_of(shared))
-    _release(spark)
+    release(spark)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -314,7 +314,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     hit = spans.join(owners, "unit").select(F.col("owner"), F.col("unit").alias("u"), "spans")
     cut_texts = whole.select("place", "unit", "_text").join(hit, (F.col("place") == F.col("owner")) & (F.col("unit") == F.col("u"))).select("unit", "_text", "spans")
     stripped = written(cut_texts.mapInArrow(cut_out, "unit long, n_removed long, n_spans long, kept string"), "stripped").dropDuplicates(["unit"])
-    _release(spark)
+    release(spark)
     facts = written(owners.join(stripped, "unit", "left"), "facts")
     copy = (F.col("place") > F.col("owner")) & (F.col("n_bytes") >= length)
     nothing = F.lit("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")  # of no bytes
@@ -325,10 +325,3 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         F.when(copy, nothing).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
-
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of what is done, instead of whenever the driver collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
