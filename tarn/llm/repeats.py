@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def _covered(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame
     kind = "shard int, code binary, context binary, sizes binary, bytes binary, member binary, unit binary, owner binary, start binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each shard the different surroundings once, and who has them where."""
+        """For each shard the different surroundings once, packed, and who has them where."""
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             owner, unit = b.column(0).to_numpy(), b.column(1).to_numpy()
             data, offsets = flat(b.column(2))
@@ -163,7 +165,7 @@ def _covered(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame
                 _, one, member = np.unique(context[at], return_index=True, return_inverse=True)
                 c = at[one]
                 body = b"".join([data[p:q].tobytes() for p, q in zip(lo[c].tolist(), hi[c].tolist(), strict=True)])
-                rows.append((k, code[c].tobytes(), context[c].tobytes(), (hi[c] - lo[c]).astype(np.int32).tobytes(), body, member.astype(np.int32).tobytes(), unit[row[at]].tobytes(), owner[row[at]].tobytes(), (lo[at] - offsets[row[at]]).astype(np.int32).tobytes()))
+                rows.append((k, code[c].tobytes(), context[c].tobytes(), (hi[c] - lo[c]).astype(np.int32).tobytes(), pack.compress(body), member.astype(np.int32).tobytes(), unit[row[at]].tobytes(), owner[row[at]].tobytes(), (lo[at] - offsets[row[at]]).astype(np.int32).tobytes()))
             yield _batch(packed, rows)
 
     spans = pa.schema([("shard", pa.int32()), ("unit", pa.binary()), ("start", pa.binary()), ("end", pa.binary())])
@@ -173,7 +175,8 @@ def _covered(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame
         many = [len(x) // 4 for x in group["sizes"].to_pylist()]
         shift = np.repeat(np.r_[0, np.cumsum(many)[:-1]], [len(x) // 4 for x in group["member"].to_pylist()])
         member, unit, owner, start = _cat(group["member"], np.int32) + shift, _cat(group["unit"], np.int64), _cat(group["owner"], np.int64), _cat(group["start"], np.int32)
-        body = np.frombuffer(b"".join(group["bytes"].to_pylist()), dtype=np.uint8)
+        unpack = zstandard.ZstdDecompressor()
+        body = np.frombuffer(b"".join(unpack.decompress(x) for x in group["bytes"].to_pylist()), dtype=np.uint8)
         begin = np.r_[0, np.cumsum(sizes)[:-1]]
         _, one, klass = np.unique(context, return_index=True, return_inverse=True)
         member = klass[member]  # now of the shard's different surroundings
@@ -285,7 +288,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     smaller id has; an empty table gives none; other columns are not looked at.
     """
     spark = docs.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     text, last = text_or_empty(text_col), (1 << 63) - 1
     whole = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("place"), text.alias("_text")).withColumn("sha", F.sha2("_text", 256))
     whole = whole.withColumn("unit", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
