@@ -72,10 +72,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     first = F.filter("a", lambda x, i: ~F.exists(F.slice(F.col("a"), 1, i), lambda y: y["hash"] == x["hash"]))
     anchors = chosen.select("item", F.explode(F.slice(first, F.lit(1), few)).alias("x")).select("item", F.col("x.hash").alias("hash"), F.col("x.anchor").alias("anchor"), F.col("x.anchor_at").alias("anchor_at"), F.col("x.size").alias("size"))
     anchors = small(anchors, n)
-    whole = docs.select(F.col("doc_id"), tokens(F.col("text")).alias("t"))
-    hits = whole.select("doc_id", "t", F.posexplode("t").alias("pos", "token")).join(anchors, F.col("token") == F.col("anchor")).withColumn("from", F.col("pos") - F.col("anchor_at"))
-    hits = hits.where((F.col("from") >= 0) & (F.col("from") + F.col("size") <= F.size("t"))).where(template_hash(F.slice("t", F.greatest(F.col("from"), F.lit(0)) + 1, F.col("size"))) == F.col("hash"))
-    pairs = written(hits.select("doc_id", "item", "size", "t").groupBy("doc_id", "item", "size", F.xxhash64("t").alias("text")).agg(F.first("t").alias("t")), "hits")
+    # the exploded rows carry no array: those few that meet an anchor go back to their texts
+    text = F.coalesce(F.col("text"), F.lit(""))
+    flat = docs.select("doc_id", F.xxhash64(text).alias("text"), F.posexplode(tokens(text)).alias("pos", "token"))
+    met = flat.join(anchors, F.col("token") == F.col("anchor")).select("doc_id", "text", "item", "size", "hash", (F.col("pos") - F.col("anchor_at")).alias("from")).where("from >= 0")
+    met = written(met, "anchors-met")
+    near = written(met.groupBy("doc_id", "text").agg(F.collect_list(F.struct("item", "size", "hash", "from")).alias("at")), "texts-met")  # of one text, so bounded by it
+    near = small(near.withColumnsRenamed({"doc_id": "_id", "text": "_text"}), near.count())
+    whole = docs.select("doc_id", text.alias("_whole"), F.xxhash64(text).alias("text"))
+    hits = whole.join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))).select("doc_id", "text", tokens(F.col("_whole")).alias("t"), "at")
+    fits = F.filter("at", lambda x: (x["from"] + x["size"] <= F.size("t")) & (template_hash(F.slice("t", x["from"] + 1, x["size"])) == x["hash"]))
+    found = hits.select("doc_id", "text", "t", F.explode(fits).alias("x")).select("doc_id", "text", "t", F.col("x.item").alias("item"), F.col("x.size").alias("size"))
+    pairs = written(found.groupBy("doc_id", "item", "size", "text").agg(F.first("t").alias("t")), "hits")
     placed = pairs.select("doc_id", "item", "text", "size", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("from")).select("doc_id", "item", "text", "from", F.slice("t", F.col("from") + 1, F.col("size")).alias("theirs")).withColumn("hash", template_hash(F.col("theirs")))
     met = placed.join(small(windows.select("item", "hash", "w", "m", "values"), n), ["item", "hash"]).withColumn("shift", F.col("from") - F.col("w"))
     slots = F.filter(F.zip_with("values", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: is_slot(s["a"]))
