@@ -175,7 +175,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, only: Co
     y = y.where(only) if only is not None else y
     n = y.count()
     chosen = y.where(uniform(7, F.col("doc_id")) < F.lit(most / max(n, 1))).select(F.col("doc_id").alias("_id"), "_y")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_id", "_y", F.coalesce(docs["text"], F.lit("")).alias("_text"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "_y", F.coalesce("text", F.lit("")).alias("_text"))
 
 
 def gathered(rows: DataFrame, features: Callable, valued: bool) -> list[tuple]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import WORDS, small, text_or_empty, uniform, written
+from tarn.llm.shared import WORDS, fresh, small, text_or_empty, uniform, written
 
 #: Weights by the source's rank, again and again.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -69,8 +69,9 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Ids are taken to be distinct; a row whose id is null is drawn as any other row.
     """
-    got = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    return docs.join(got, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).where("_copies > 0").select(*[docs[c] for c in docs.columns])
+    key, n, k = (fresh(docs, x) for x in ("_key", "_copies", "_copy"))
+    got = mix(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
+    return docs.join(got, F.col("doc_id").eqNullSafe(F.col(key))).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(k)).select(*docs.columns)
 
 
 SQL = """

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.shared import drop, path_of, release, written
+from tarn.llm.shared import drop, path_of, release, without, written
 from tarn.llm.text import U64, cut, distinct, flat, mix, windows, words
 
 #: Counters that estimate how often shingles occur; they only set the order, so that collisions cost time, never links.
@@ -314,8 +314,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows that repeat an id stay together, and rows without an id stay: nothing tells them apart.
     """
     classes = similar_sets(docs, n, percent)
-    gone = classes.where("doc_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+    return without(docs, classes.where("doc_id <> component_id"))
 
 
 def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, salt: int) -> DataFrame:

@@ -84,3 +84,18 @@ def uniform(seed: int, *cols) -> Column:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, whose doc_id is not among gone(doc_id); rows without an id stay."""
+    name = fresh(docs, "_gone")
+    right = gone.select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(right, F.col("doc_id") == F.col(name), "left_anti")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import small, written
+from tarn.llm.shared import small, without, written
 
 WINDOW = 5
 #: Share of an item's windows that a text must hold, slots agreeing, to count as contaminated.
@@ -99,5 +99,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, all columns as they are, without those that hold a benchmark item; rows without an id stay."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_id"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, **options))

@@ -104,6 +104,7 @@ def token_counts(docs: DataFrame, model: str | None = None, cache: str | None =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
-    found = todo.mapInArrow(encode, "digest string, n_tokens long")
+    # a row that occurs twice, id and text, comes twice
+    found = todo.mapInArrow(encode, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     found.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     return thin.join(read(), "digest").select(F.col("_id").alias(id_col), "digest", "n_bytes", "n_tokens")
