@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import code
-from tarn.operators import graph, samples, similarity, tallies
+from tarn.operators import graph, pages, samples, similarity, tallies
 from tarn.session import table
 
 
@@ -201,3 +201,19 @@ def press_score(spark: SparkSession, d: str) -> DataFrame:
     """Scores of moves: seconds of a transition from the value of an event, hops from its id."""
     e = table(spark, d, "events").select("event_id", (F.col("value") / 100).alias("s"), (F.col("event_id") % 14).alias("hops"))
     return e.select("event_id", F.round(code.move_score(F.col("s")), 6).alias("move"), F.round(code.near_score(F.col("hops")), 6).alias("near"))
+
+
+def page_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of each page, the largest subtree below its root, and what is on screen."""
+    from tarn.session import stored
+
+    e = stored(pages.elements(table(spark, d, "pages")))
+    roots = e.where("parent IS NULL").select("page_id", "idx")
+    below = pages.sizes(e).join(roots, ["page_id", "idx"], "left_anti").groupBy("page_id").agg(F.max("size").alias("largest"))
+    return e.groupBy("page_id").agg(F.count(F.lit(1)).alias("elements"), F.max(F.size("ancestors")).alias("depth")).join(below, "page_id", "left").join(pages.on_screen(e), "page_id", "left")
+
+
+def ui_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Controls by how many gates they are behind."""
+    c = pages.controls(pages.elements(table(spark, d, "pages")))
+    return c.groupBy("depth", "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if("key_only").alias("key_only"))
