@@ -153,7 +153,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     comps = components(edges).withColumnRenamed("node", "key")
     named = ready.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("_id").alias("_least")).join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = written(named, "named")
-    names = named.groupBy("component").agg(F.min("_least").alias("component_id"))
+    names = written(named.groupBy("component").agg(F.min("_least").alias("component_id")), "names")  # so that the join below can be split
     info = reps.select("key", "weight").join(sums, "key", "left").join(named.join(names, "component").select("key", "component_id"), "key")
     info = written(info.select("key", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id"), "info")
     return ready.select("_id", "key").join(info, "key", "left").select(

@@ -303,7 +303,7 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     comps = components(links)
     # the least id of each class's rows, then of each component's classes
     least = written(classes.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), "_least"), "members")
-    ids = least.groupBy("comp").agg(F.min("_least").alias("component_id"))
+    ids = written(least.groupBy("comp").agg(F.min("_least").alias("component_id")), "names")  # so that the join below can be split
     known = written(least.join(ids, "comp").select("sid", "component_id"), "ids")
     return rows.join(known, "sid", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
 
