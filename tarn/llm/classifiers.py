@@ -118,14 +118,14 @@ class NonNegativePu:
 
     With prior p of positives: risk = p * R(positive as 1) + max(0, R(unlabelled as 0) - p * R(positive as 0)). When the
     second part falls below zero the step climbs it, so the model does not fit unlabelled positives as negatives.
-    Words are chosen by how much more of the positives than of the unlabelled rows hold them.
+    Words are chosen if more of the positives hold them than the unlabelled rows lead to expect, by ``least`` deviations.
     """
 
     words: int = 512
-    least: int = 3
+    least: float = 4.0
     steps: int = 400
     rate: float = 0.05
-    l2: float = 1e-3
+    l2: float = 1e-4
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray, float]:
         """(hashes ascending, weights, bias). Without positives: no words and the prior as the score of all."""
@@ -137,8 +137,10 @@ class NonNegativePu:
         at = np.minimum(np.searchsorted(hu, hp), len(hu) - 1)
         other = np.where(hu[at] == hp, cu[at], 0) / len(unlabelled)
         own = cp / len(positive)
-        gain = np.where(cp >= self.least, (own - other) * np.log((own + 0.5 / len(positive)) / (other + 0.5 / len(unlabelled))), -1.0)
-        kept = np.sort(hp[(order := np.argsort(-gain, kind="stable")[: self.words])[gain[order] > 0]])
+        expected = other * len(positive)
+        gain = (cp - expected) / np.sqrt(expected + 1)
+        order = np.argsort(-gain, kind="stable")[: self.words]
+        kept = np.sort(hp[order[gain[order] >= self.least]])
         xp, xu = (self._matrix(rows, kept) for rows in (positive, unlabelled))
         w, b = np.zeros(len(kept)), base
         m1, m2 = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)

@@ -29,9 +29,6 @@ STATES, ROUNDS, SEGMENT = 6, 3, 128
 #: At first a state is kept with this probability, so that states find kinds of text; and the weight of the unigram
 #: distribution in emissions, against the mean count of a state.
 STAY, SMOOTH = 0.995, 0.4
-#: Words not in the head to a shard of the lookup.
-SHARD_TOKENS = 1_000_000
-LOG10 = float(np.log(10.0))
 
 
 @dataclass
