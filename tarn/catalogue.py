@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _TABLES = (
     "size_bands health_bands role_tally lang_stats scope_totals coverage_buckets even_sample timeline resolve_best unresolved line_owner touched_findings"
     " blast_callers reach nearest_guard depth_hist idf_weights word_jaccard twins contested neighbours first_n session_lease welch_t failure_bound"
-    " stable_bench line_letters path_facts page_tags embedded_lang scatter press_score page_tree ui_depth"
+    " stable_bench line_letters path_facts page_tags embedded_lang scatter press_score page_tree ui_depth trace_top setting_verdicts skeletons screen_share tag_rows"
 )
 _STREAMS = (
     "monobit block_freq runs longest_run cusum_z excursion_visits excursion_bins pattern_counts psi2 phi universal_fn overlapping_templates"

@@ -35,6 +35,8 @@ HASHED = _sign_hash()
 PAIRS = """x AS (SELECT vec_id, embedding, h, k, CASE WHEN k = 10 THEN (h >> 60) & 15 ELSE (h >> (6 * k)) & 63 END AS bits FROM h, (SELECT unnest(range(11))::INT AS k)),
 p AS (SELECT DISTINCT l.vec_id AS a, r.vec_id AS b, bit_count(xor(l.h, r.h)) AS hamming FROM x l JOIN x r ON l.k = r.k AND l.bits = r.bits AND l.vec_id < r.vec_id WHERE bit_count(xor(l.h, r.h)) <= 20)"""
 TURNS = "t AS (SELECT conv_id, turn, role, conv_id || ':' || turn AS node, conv_id || ':' || (turn + 1) AS nxt FROM conversations), e AS (SELECT t.node AS src, u.node AS dst FROM t JOIN t u ON u.node = t.nxt)"
+LETTER = """CASE WHEN s = '' OR s LIKE '#%' THEN NULL WHEN s LIKE 'for %' THEN 'F' WHEN s LIKE 'while %' THEN 'W' WHEN s LIKE 'if %' OR s LIKE 'when %' THEN 'I' WHEN s LIKE 'elif %' OR s LIKE 'else%' THEN 'E' WHEN s LIKE 'case %' THEN 'C' WHEN s LIKE 'of %' THEN 'O'
+        WHEN s LIKE 'try%' THEN 'T' WHEN s LIKE 'except%' OR s LIKE 'finally%' THEN 'X' WHEN s LIKE 'return%' OR s LIKE 'result%' THEN 'R' WHEN s LIKE 'var %' OR s LIKE 'let %' THEN 'V' WHEN s LIKE 'assert%' OR s LIKE 'doAssert%' OR s LIKE 'raise%' THEN 'A' WHEN contains(s, '(') THEN 'K' ELSE '.' END"""
 NORM = r"md5(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -80,9 +82,8 @@ ORACLE_SQL: dict[str, str] = {
     "stable_bench": "SELECT event_type, len(l) AS n, l[1] AS least, l[len(l) // 2 + 1] AS median, round(list_avg(l), 6) AS mean, l[len(l)] AS most FROM (SELECT event_type, list(value ORDER BY value) AS l FROM events WHERE value IS NOT NULL GROUP BY 1)",
     "page_tags": "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, count(*) FILTER (tag = 'a') AS anchors, count(*) FILTER (tag = 'p') AS paragraphs, count(*) AS tags FROM t GROUP BY 1",
     "embedded_lang": _classify(),
-    "line_letters": """WITH l AS (SELECT trim(unnest(string_split(html, chr(10)))) AS s FROM pages)
-        SELECT CASE WHEN s = '' OR s LIKE '#%' THEN NULL WHEN s LIKE 'for %' THEN 'F' WHEN s LIKE 'while %' THEN 'W' WHEN s LIKE 'if %' OR s LIKE 'when %' THEN 'I' WHEN s LIKE 'elif %' OR s LIKE 'else%' THEN 'E' WHEN s LIKE 'case %' THEN 'C' WHEN s LIKE 'of %' THEN 'O'
-        WHEN s LIKE 'try%' THEN 'T' WHEN s LIKE 'except%' OR s LIKE 'finally%' THEN 'X' WHEN s LIKE 'return%' OR s LIKE 'result%' THEN 'R' WHEN s LIKE 'var %' OR s LIKE 'let %' THEN 'V' WHEN s LIKE 'assert%' OR s LIKE 'doAssert%' OR s LIKE 'raise%' THEN 'A' WHEN contains(s, '(') THEN 'K' ELSE '.' END AS letter, count(*) AS n FROM l GROUP BY 1""",
+    "line_letters": f"""WITH l AS (SELECT trim(unnest(string_split(html, chr(10)))) AS s FROM pages)
+        SELECT {LETTER} AS letter, count(*) AS n FROM l GROUP BY 1""",
     "path_facts": r"""WITH p AS (SELECT page_id, ['src/a/', 'tests/', 'lib/node_modules/x/', ''][page_id % 4 + 1] || 'test_' || page_id || ['.nim', '.JS', '.md'][page_id % 3 + 1] AS path FROM pages),
         q AS (SELECT *, regexp_matches(path, '(^|/)tests?/') OR (NOT regexp_matches(path, '(^|/)src/') AND regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test\.nim)$')) AS is_test FROM p)
         SELECT page_id, lower(split_part(path, '.', -1)) AS ext, contains('/' || lower(path) || '/', '/node_modules/') AS ignored, is_test, regexp_matches(path, '(^|/)src/') AND NOT is_test AS is_src, regexp_replace(path, '\.nim$', '') AS module FROM q""",
@@ -108,4 +109,9 @@ ORACLE_SQL: dict[str, str] = {
     "sign_hashes": f"WITH {HASHED} SELECT vec_id, CAST(bit_count(h) AS INT) AS ones, h & 65535 AS low FROM h",
     "band_pairs": f"WITH {HASHED}, {PAIRS} SELECT a, b, CAST(hamming AS INT) AS hamming FROM p",
     "alike_pairs": f"WITH {HASHED}, {PAIRS} SELECT * FROM (SELECT a, b, round(greatest(0.0, 1 - list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[])), 6) AS distance FROM p JOIN embeddings l ON l.vec_id = a JOIN embeddings r ON r.vec_id = b) WHERE distance <= 0.8",
+    "trace_top": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 25",
+    "setting_verdicts": "SELECT l_suppkey, reads, writes, CASE WHEN reads = 0 AND writes = 0 THEN 'untouched' WHEN reads = 0 THEN 'does nothing' WHEN writes = 0 THEN 'never set' WHEN writes >= 3 THEN 'contested' ELSE 'fine' END AS verdict FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS reads, count(*) FILTER (l_discount > 0.09::DOUBLE) AS writes FROM lineitem GROUP BY 1)",
+    "skeletons": f"WITH l AS (SELECT page_id, unnest(range(len(a))) AS n, trim(unnest(a)) AS s FROM (SELECT page_id, string_split(html, chr(10)) AS a FROM pages)), x AS (SELECT page_id, n, {LETTER} AS letter FROM l) SELECT page_id, substr(string_agg(letter, '' ORDER BY n), 1, 160) AS skeleton FROM x WHERE letter IS NOT NULL GROUP BY 1",
+    "screen_share": "SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - n_chars / 20000)), 6) AS kept, CAST(NULL AS DOUBLE) AS unmeasured FROM documents",
+    "tag_rows": "SELECT conv_id, array_to_string(list_sort(list_distinct(list(lower(role)))), ',') AS tags FROM conversations GROUP BY 1",
 }

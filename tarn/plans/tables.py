@@ -217,3 +217,33 @@ def ui_depth(spark: SparkSession, d: str) -> DataFrame:
     """Controls by how many gates they are behind."""
     c = pages.controls(pages.elements(table(spark, d, "pages")))
     return c.groupBy("depth", "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if("key_only").alias("key_only"))
+
+
+def trace_top(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 users with the most events; of equal ones the lower id first."""
+    g = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return tallies.top(g, [F.desc("n"), F.asc("user_id")], 25)[0]
+
+
+def setting_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as settings: returned lines read them, discounted lines above 9 % write them."""
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("reads"), F.count_if(F.col("l_discount") > 0.09).alias("writes"))
+    return g.select("l_suppkey", "reads", "writes", code.setting_verdict(F.col("reads"), F.col("writes")).alias("verdict"))
+
+
+def skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """Pages by the letters of their first 160 code lines."""
+    lines = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "line"))
+    return code.skeleton(lines, "page_id", "n", "line")
+
+
+def screen_share(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document, what its source's largest one would keep of a screen of 20,000 characters without it."""
+    n = table(spark, d, "documents")
+    return n.select("doc_id", F.round(code.kept_share(F.col("n_chars"), F.lit(20_000)), 6).alias("kept"), F.round(code.kept_share(F.col("n_chars"), F.lit(0)), 6).alias("unmeasured"))
+
+
+def tag_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a conversation's roles as tags: trimmed, lower-case, each once, in order."""
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.concat(F.lit(" "), F.upper("role"))).alias("tags"))
+    return g.select("conv_id", F.array_join(tallies.normalised(F.col("tags")), ",").alias("tags"))
