@@ -31,8 +31,9 @@ COUNTER_BITS = 22
 CHUNK = 1 << 16
 #: Bits of the filter that keeps the sets of texts without candidates from being sent; false positives cost time only.
 FILTER_WORDS = 1 << 20
-#: Regions up to this size are compared inside a task, by sketches of SKETCH bytes for each member; larger ones go on with pivots.
-SMALL_REGION, SKETCH = 4096, 256
+#: Regions up to this size are compared inside a task, by sketches of SKETCH bytes for each member, folded to COARSE counts
+#: first; larger ones go on with pivots. Sketches of so many counts tell sets of some 20,000 shingles apart.
+SMALL_REGION, SKETCH, COARSE = 4096, 1024, 256
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -189,7 +190,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int, salt: int, sketch: bool) -
                 rows = [r for r in np.flatnonzero(hit).tolist() if not (int(sid[r]) in seen or seen.add(int(sid[r])))]
                 sets = [h[at[r] : at[r + 1]] for r in rows]
                 if sketch:
-                    sets = [np.minimum(np.bincount((x >> U64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8) for x in sets]
+                    sets = [np.minimum(np.bincount((x >> U64(54)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8) for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "set"])
 
     got = docs.select("_text").mapInArrow(run, "sid long, set binary").join(ids, "sid", "left_semi")
@@ -226,13 +227,15 @@ def _compared(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def pairs(sid, n, comp, sketch) -> pa.RecordBatch:
         order = np.argsort(n, kind="stable")
         sid, n, comp = sid[order], n[order].astype(np.int64), comp[order]
-        k = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, SKETCH)[order].astype(np.int16)
+        k = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(-1, SKETCH)[order]
+        rough = k.reshape(len(k), COARSE, -1).sum(2, dtype=np.int16)  # sums differ by no more than their parts
         out = []
         for i in range(len(sid) - 1):
             end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))  # larger ones can't be linked
             j = i + 1 + np.flatnonzero(comp[i + 1 : end] != comp[i])
             if len(j):
-                j = j[_near(np.abs(k[j] - k[i]).sum(1, dtype=np.int64), n[j] + n[i], percent)]
+                j = j[_near(np.abs(rough[j] - rough[i]).sum(1, dtype=np.int64), n[j] + n[i], percent)]
+                j = j[_near(np.abs(k[j].astype(np.int16) - k[i].astype(np.int16)).sum(1, dtype=np.int64), n[j] + n[i], percent)]
                 out.append(np.stack([np.full(len(j), i), j]))
         i, j = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         swap = sid[i] > sid[j]
