@@ -122,7 +122,7 @@ def depth_hist(spark: SparkSession, d: str) -> DataFrame:
 def idf_weights(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term"))
-    return tallies.idf(words, "doc_id", "term").where("df >= 5")
+    return tallies.idf(words, "doc_id", "term")
 
 
 def word_jaccard(spark: SparkSession, d: str) -> DataFrame:

@@ -25,3 +25,14 @@ def test_blast_callers_uses_every_part(spark, tmp_path):
     two = set().union(*(back[x] for x in one)) - one - {50}
     assert one and two
     assert {(r["node"], r["depth"]) for r in tables.blast_callers(spark, d).collect()} == {(x, 1) for x in one} | {(x, 2) for x in two}
+
+
+def test_idf_weights_keeps_rare_terms(spark, tmp_path):
+    texts = ["a rare word", "a common word here", "a common word there", "A  b", "a", "a common lone"]
+    d = tables_in(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    df = defaultdict(int)
+    for t in texts:
+        for term in set(t.lower().split(" ")):
+            df[term] += 1
+    want = {(t, n, round(math.log((len(texts) + 1) / (n + 1)) + 1, 6)) for t, n in df.items()}
+    assert {(r["term"], r["df"], r["weight"]) for r in tables.idf_weights(spark, d).collect()} == want
