@@ -94,6 +94,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+def word_pairs(items: DataFrame, key: str, words: str, least: float = 0.5) -> DataFrame:
+    """(a, b, score): all pairs a < b whose word sets have a Jaccard of ``least`` or more (above 0), rounded to six places.
+
+    Equal sets are one. Sets meet by the words of their prefixes, rare words first: two sets of Jaccard j share one of
+    the first n - ceil(j n) + 1 words of each. The parts of a set come back only to the pairs of sets that are alike.
+    """
+    from tarn.session import stored
+
+    own = stored(items.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(words)).alias("words")).where(F.size("words") > 0))
+    sets = own.select("words").distinct()
+    df = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ordered = sets.select("words", F.explode("words").alias("word")).join(df, "word").groupBy("words").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
+    # a little less than least * n before it is rounded up: a prefix that is too long loses nothing
+    n = F.size("words") - F.ceil(F.lit(least) * F.size("words") - F.lit(1e-9)).cast("int") + 1
+    prefix = stored(ordered.select("words", F.explode(F.slice("o", F.lit(1), F.least(n, F.size("words")))).alias("x")).select("words", F.col("x.word").alias("word")))
+    a, b = (prefix.select(F.col("words").alias(f"w{x}"), "word") for x in "ab")
+    size = lambda x: F.size(F.col(f"w{x}"))
+    fits = (size("a") >= least * size("b") - 1e-9) & (size("b") >= least * size("a") - 1e-9)
+    met = a.join(b, "word").where((F.col("wa") <= F.col("wb")) & fits).select("wa", "wb").distinct()
+    alike = met.select("wa", "wb", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("score")).where(F.col("score") >= least)
+    ia, ib = (own.select(F.col("words").alias(f"w{x}"), F.col("id").alias(f"i{x}")) for x in "ab")
+    every = alike.join(ia, "wa").join(ib, "wb").where((F.col("wa") != F.col("wb")) | (F.col("ia") < F.col("ib")))
+    return every.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "score")
+
+
 def _lcs(a: str, b: str) -> float:
     """Longest common subsequence over the longer length, by bit-parallel rows."""
     if not a or not b:

@@ -126,11 +126,9 @@ def idf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of a brand with type words that are half the same or more."""
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", similarity.split_words(F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), " ", "_")).alias("words"))
-    a, b = (p.select(F.col("p_partkey").alias(x), "p_brand", "p_size", F.col("words").alias(f"w{x}")) for x in "ab")
-    score = similarity.jaccard(F.col("wa"), F.col("wb"))
-    return a.join(b, ["p_brand", "p_size"]).where(F.col("a") < F.col("b")).select("a", "b", F.round(score, 6).alias("score")).where("score >= 0.5")
+    """Parts whose words of name and type are half the same or more."""
+    words = similarity.split_words(F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), " ", "_"))
+    return similarity.word_pairs(table(spark, d, "part").select("p_partkey", words.alias("words")), "p_partkey", "words")
 
 
 def twins(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries on small tables against brute force over all rows."""
 
 import math
+import re
 from collections import defaultdict
 
 from tarn.plans import tables
@@ -36,3 +37,13 @@ def test_idf_weights_keeps_rare_terms(spark, tmp_path):
             df[term] += 1
     want = {(t, n, round(math.log((len(texts) + 1) / (n + 1)) + 1, 6)) for t, n in df.items()}
     assert {(r["term"], r["df"], r["weight"]) for r in tables.idf_weights(spark, d).collect()} == want
+
+
+def test_word_jaccard_finds_all_pairs(spark, tmp_path):
+    names = ["large ring", "hot bolt", "blue ring", "large ring", "tiny Ring", "old gear box", "gear box", "ab", "ring blue", "Old steelGear"]
+    parts = [(i, n, ("LARGE", "SMALL STEEL", "")[i % 3], f"Brand#{i}", i) for i, n in enumerate(names * 2)]
+    d = tables_in(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size long"))
+    sets = {i: {w for w in re.split("[_$-]", re.sub("([a-z0-9])([A-Z])", r"\1_\2", f"{n} {t}".replace(" ", "_")).lower()) if len(w) >= 3} for i, n, t, _, _ in parts}
+    want = {(a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets.items() for b, y in sets.items() if a < b and x | y and len(x & y) / len(x | y) >= 0.5}
+    got = [(r["a"], r["b"], r["score"]) for r in tables.word_jaccard(spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
