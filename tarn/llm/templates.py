@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates: copied and re-parameterised questions, found with DataFrame expressions only.
 
 Numbers, units and names become typed placeholders, so a question asked with other values has the same template.
-Windows of WINDOW template words are joined by hash; then the slots must agree: where an aligned benchmark item names one
-value twice, the text must name one value at both places, and different values must stay different.
+Windows of WINDOW template words are joined by hash; then the slots must agree: in an alignment each value of the
+benchmark item stands for the value that the text has in most of its places (none, if two are as frequent), and windows
+with another one don't count. Different values may become one value, and windows without slots always count.
 """
 
 from __future__ import annotations
@@ -57,7 +58,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     A text that holds the share ``coverage`` of an item's m windows lacks at most (1 - coverage) m of them, so it holds
     one of any floor((1 - coverage) m) + 1: those with the longest anchor words. Tokens of the texts meet these anchors
     in one pass; only where the whole window's hash fits does anything go on. Each such text then meets all windows of
-    the item, alignment by alignment; alignments whose slots disagree don't count. ``changed``: slots with other values.
+    the item, alignment by alignment; windows whose slots contradict the rest of the alignment don't count. ``n_slots``: values of
+    an alignment, ``changed``: those that the text has others for.
 
     The benchmark side is broadcast only if its counted windows are within the bound. Null texts and null or empty items
     match nothing, repeated rows come as often as they occur in one row per doc_id and text, items without a window of
@@ -86,12 +88,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     pairs = written(found.groupBy("doc_id", "item", "size", "text").agg(F.first("t").alias("t")), "hits")
     placed = pairs.select("doc_id", "item", "text", "size", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("from")).select("doc_id", "item", "text", "from", F.slice("t", F.col("from") + 1, F.col("size")).alias("theirs")).withColumn("hash", template_hash(F.col("theirs")))
     met = placed.join(small(windows.select("item", "hash", "w", "m", "values"), n), ["item", "hash"]).withColumn("shift", F.col("from") - F.col("w"))
-    slots = F.filter(F.zip_with("values", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda s: is_slot(s["a"]))
+    slots = F.filter(F.transform(F.arrays_zip(F.col("values").alias("a"), F.col("theirs").alias("b")), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), (F.col("w") + i).alias("at"))), lambda s: is_slot(s["a"]))
     key = ["doc_id", "text", "item", "shift"]
     met = written(met.select(*key, "m", "hash", slots.alias("slots")), "met")
-    agree = met.select(*key, F.explode("slots").alias("s")).groupBy(*key).agg(F.count_distinct("s").alias("n"), F.count_distinct("s.a").alias("na"), F.count_distinct("s.b").alias("nb"), F.count_distinct(F.when(F.col("s.a") != F.col("s.b"), F.col("s"))).alias("other"))
+    votes = met.select(*key, F.explode("slots").alias("s")).groupBy(*key, "s.a", "s.b").agg(F.count_distinct("s.at").alias("votes"))
+    most = votes.groupBy(*key, "a").agg(F.sort_array(F.collect_list(F.struct("votes", "b")), asc=False).alias("v"))
+    most = most.select(*key, "a", F.when((F.size("v") == 1) | (F.get("v", F.lit(0))["votes"] > F.get("v", F.lit(1))["votes"]), F.get("v", F.lit(0))["b"]).alias("b"))
+    agree = most.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("means"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("other"))  # an item's values are few
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    joined = met.alias("l").join(agree.alias("r"), same[0] & same[1] & same[2] & same[3], "left").select(*[F.col(f"l.{k}") for k in key], "m", "hash", "n", "na", "nb", "other").where("n IS NULL OR (n = na AND n = nb)")
+    joined = met.alias("l").join(agree.alias("r"), same[0] & same[1] & same[2] & same[3], "left").where(F.forall("slots", lambda s: F.col("means")[s["a"]] == s["b"])).select(*[F.col(f"l.{k}") for k in key], "m", "hash", "n", "other")
     found = joined.groupBy("doc_id", "text", "item").agg(F.count_distinct("hash").alias("matched"), F.max("m").alias("windows"), F.coalesce(F.max("n"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("other"), F.lit(0)).alias("changed"))
     share = F.col("matched") / F.col("windows")
     return found.where(share >= coverage - 1e-9).select("doc_id", F.col("item").alias("item_id"), "matched", "windows", share.alias("coverage"), "n_slots", "changed")

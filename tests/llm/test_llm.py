@@ -188,6 +188,21 @@ def test_op5_finds_other_values(spark):
     assert templates.contaminated(df.limit(0), bench).count() == 0 and templates.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_op5_one_slot_discounts_its_own_windows_only(spark):
+    short = "If Anna buys 3 apples for 4 euros, how many apples does she get at the same shop in Berlin today?"
+    rest = " ".join(f"plain{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    long = f"The train leaves with 12 wagons and {rest} so that all 12 wagons come back before the night is over"
+    apart = "Of the 5 boxes we sold 5 boxes and then went home with the money to count it all again in peace"
+    bench = spark.createDataFrame([(1, short), (2, long), (3, apart)], "item_id long, text string")
+    one = short.replace("3 apples", "5 apples").replace("4 euros", "5 euros")
+    docs = [(1, f"Well. {one} So."), (2, f"Well. {long.replace('all 12', 'all 13')} So."), (3, f"Well. {rest[:200]} So."), (4, f"Well. {apart.replace('5', '8')} So."), (5, f"Well. {apart.replace('sold 5', 'sold 6')} So.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in templates.contaminated(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (4, 3)}
+    assert got[1, 1]["coverage"] == 1 and 0.8 <= got[2, 2]["coverage"] < 1
+    assert {r["doc_id"] for r in templates.clean(df, bench).collect()} == {3, 5}
+
+
 def test_op6_targets_and_copies(docs, spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 0), ("d", 5)], "source string, source_size long")
     got = {r["source"]: r for r in mixing.targets(sizes).collect()}
