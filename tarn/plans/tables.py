@@ -137,7 +137,7 @@ def twins(spark: SparkSession, d: str) -> DataFrame:
 
 def contested(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("thing"), F.col("l_partkey").alias("writer"))
-    return similarity.contested(w, 8)
+    return similarity.contested(w)
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:

@@ -47,3 +47,11 @@ def test_word_jaccard_finds_all_pairs(spark, tmp_path):
     want = {(a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets.items() for b, y in sets.items() if a < b and x | y and len(x & y) / len(x | y) >= 0.5}
     got = [(r["a"], r["b"], r["score"]) for r in tables.word_jaccard(spark, d).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_contested_from_two_shared_parts(spark, tmp_path):
+    of = {1: {1, 2, 3, 4, 5, 6, 7, 8, 9}, 2: {1, 2, 3, 4, 5, 6, 7, 8}, 3: {1, 2}, 4: {9, 20}, 5: {20, 21, 9}}
+    lines = [(s, p) for s, ps in of.items() for p in ps for _ in range(2)]
+    d = tables_in(spark, tmp_path, lineitem=(lines, "l_suppkey long, l_partkey long"))
+    want = {(a, b, len(of[a] & of[b])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
+    assert {(r["a"], r["b"], r["shared"]) for r in tables.contested(spark, d).collect()} == want
