@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ COUNTS = ("lines", "params", "variables", "loops", "branches", "calls", "assigns
 AGREEMENT, MEMBERS, VARYING = 0.82, 3, 3
 #: Pairs: least closeness of counts, least letters, least score.
 CLOSE, LETTERS, SCORE = 0.55, 5, 0.72
+#: Weights of closeness, letters and name words, and the least ratio of skeleton lengths with which SCORE can be reached.
+NEAR, SHAPE, NAME = 0.5, 0.34, 0.16
+LEAST_RATIO = (SCORE - NEAR - NAME) / SHAPE
 
 
 def shapes(functions: DataFrame, most: int = 160) -> DataFrame:
@@ -30,16 +35,22 @@ def shapes(functions: DataFrame, most: int = 160) -> DataFrame:
 def duplicates(shapes_: DataFrame) -> DataFrame:
     """(a, b, score): half closeness of counts, a third sequence agreement, the rest name words; cheap tests first.
 
-    Only routines of lengths within a factor of two can be close enough, so pairs meet by bands of length, twice as long each.
+    The agreement is at most the shorter skeleton over the longer one, so a score of SCORE needs a ratio of LEAST_RATIO.
+    Pairs meet by bands of skeleton length, twice as long each, as far apart as that ratio allows.
     """
     top = shapes_.agg(*[F.greatest(F.max(c), F.lit(1.0)).alias(f"_{c}") for c in COUNTS])
     x = shapes_.where(F.length("skeleton") >= LETTERS).crossJoin(F.broadcast(top)).withColumn("v", F.array(*[F.col(c) / F.col(f"_{c}") for c in COUNTS]))
-    x = x.withColumn("band", F.floor(F.log2(F.greatest("lines", F.lit(1.0))))).select("fn_id", "skeleton", "v", "band", split_words(F.col("name")).alias("w"))
+    x = x.withColumn("size", F.length("skeleton")).withColumn("band", F.floor(F.log2("size"))).select("fn_id", "skeleton", "size", "v", "band", split_words(F.col("name")).alias("w"))
     a = x.select(*[F.col(c).alias(f"{c}_a") for c in x.columns])
-    b = x.withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).select("at", *[F.col(c).alias(f"{c}_b") for c in x.columns])
+    apart = math.ceil(-math.log2(LEAST_RATIO))
+    b = x.withColumn("at", F.explode(F.sequence(F.col("band") - apart, F.col("band") + apart))).select("at", *[F.col(c).alias(f"{c}_b") for c in x.columns])
     near = 1 - F.sqrt(F.aggregate(F.zip_with("v_a", "v_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t) / len(COUNTS))
+    name = jaccard(F.col("w_a"), F.col("w_b"))
     pairs = a.join(b, F.col("band_a") == F.col("at")).where("fn_id_a < fn_id_b").withColumn("near", near).where(F.col("near") >= CLOSE)
-    score = 0.5 * F.col("near") + 0.34 * lcs_ratio("skeleton_a", "skeleton_b") + 0.16 * jaccard(F.col("w_a"), F.col("w_b"))
+    # the score is rounded to six places, so what could round up to SCORE stays
+    ratio = F.least("size_a", "size_b") / F.greatest("size_a", "size_b")
+    pairs = pairs.where(NEAR * F.col("near") + SHAPE * ratio + NAME * name >= SCORE - 1e-6)
+    score = NEAR * F.col("near") + SHAPE * lcs_ratio("skeleton_a", "skeleton_b") + NAME * name
     return pairs.select(F.col("fn_id_a").alias("a"), F.col("fn_id_b").alias("b"), F.round(score, 6).alias("score")).where(F.col("score") >= SCORE)
 
 

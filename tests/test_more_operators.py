@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tarn.operators import families, machine, pages
+from tarn.operators.similarity import _lcs
 from tarn.sources import routines
 
 HTML = """<body><button id=b>Go</button><details><summary>More</summary><div class="off"><a href=x>In</a><input></div></details>
@@ -44,3 +47,27 @@ def test_families(spark):
     fam = families.families(s).collect()
     assert len(fam) == 1 and len(fam[0]["members"]) == 3 and fam[0]["agreement"] == 1.0 and fam[0]["varying"] == 0
     assert families.duplicates(s).count() == 3
+
+
+def test_duplicates_are_those_of_all_pairs(spark):
+    rnd = random.Random(7)
+    rows = []
+    for i, n in enumerate([4, 5, 6, 7, 7, 8, 16, 16, 17, 28, 31, 33, 40, 63, 100, 170, 700, 1000]):
+        skeleton = ("VF.I.R" * 200)[:n] if i % 3 else "".join(rnd.choice("VFIRK.") for _ in range(n))
+        rows.append((f"f{i:02}", "m", "proc", ("sumAll", "sum_all", "otherName")[i % 3 if i > 8 else 0], skeleton[:160], float(n), *[float(rnd.choice((6, 9, 10, 10, 10))) for _ in range(7)]))
+    df = spark.createDataFrame(rows, "fn_id string, module string, decl_kind string, name string, skeleton string, " + ", ".join(f"{c} double" for c in families.COUNTS))
+    top = [max(1.0, *(r[5 + k] for r in rows)) for k in range(8)]
+    words = lambda n: {"sumAll": {"sum", "all"}, "sum_all": {"sum", "all"}, "otherName": {"other", "name"}}[n]
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and min(len(x[4]), len(y[4])) >= 5:
+                near = 1 - (sum(((x[5 + k] - y[5 + k]) / top[k]) ** 2 for k in range(8)) / 8) ** 0.5
+                name = len(words(x[3]) & words(y[3])) / len(words(x[3]) | words(y[3]))
+                score = round(0.5 * near + 0.34 * _lcs(x[4], y[4]) + 0.16 * name, 6)
+                if near >= 0.55 and score >= 0.72:
+                    want[x[0], y[0]] = score
+    got = {(r["a"], r["b"]): r["score"] for r in families.duplicates(df).collect()}
+    size = {r[0]: int(r[5]) for r in rows}
+    assert sum(abs(size[a].bit_length() - size[b].bit_length()) > 1 for a, b in want) > 0
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
