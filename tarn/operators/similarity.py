@@ -44,19 +44,20 @@ def sign_hash(vector: Column, dims: int, bits: int = 64) -> Column:
     return F.pandas_udf(run, "long")(vector)
 
 
-def band_pairs(items: DataFrame, key: str, hash_: str, bits: int = 20, most: int = 3000) -> tuple[DataFrame, DataFrame]:
+def band_pairs(items: DataFrame, key: str, hash_: str, bits: int = 20, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that share a band and differ in at most ``bits`` bits; and the skipped bands, counted.
 
-    A bucket of more than ``most`` items is skipped, as the candidate index defines it; the second table tells which.
+    With ``most``, a bucket of more items is skipped, as the candidate index does with 3,000; the second table tells which.
+    Without, all buckets are compared and the second table is empty.
     """
     band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(hash_, k * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).alias("bits")) for k in range(BANDS)]))
     banded = items.select(F.col(key).alias("a"), F.col(hash_).alias("ha"), band.alias("x")).select("a", "ha", "x.band", "x.bits")
     sizes = banded.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("size"))
-    kept = banded.join(sizes.where(F.col("size") <= most).select("band", "bits"), ["band", "bits"], "left_semi")
+    kept = banded if most is None else banded.join(sizes.where(F.col("size") <= most).select("band", "bits"), ["band", "bits"], "left_semi")
     other = kept.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "band", "bits")
     distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     pairs = kept.join(other, ["band", "bits"]).where((F.col("a") < F.col("b")) & (distance <= bits)).select("a", "b", distance.alias("hamming")).distinct()
-    return pairs, sizes.where(F.col("size") > most)
+    return pairs, sizes.limit(0) if most is None else sizes.where(F.col("size") > most)
 
 
 def star_clusters(pairs: DataFrame) -> DataFrame:

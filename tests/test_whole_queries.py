@@ -4,6 +4,9 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
+
+from tarn.operators import similarity
 from tarn.plans import tables
 
 
@@ -55,3 +58,13 @@ def test_contested_from_two_shared_parts(spark, tmp_path):
     d = tables_in(spark, tmp_path, lineitem=(lines, "l_suppkey long, l_partkey long"))
     want = {(a, b, len(of[a] & of[b])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
     assert {(r["a"], r["b"], r["shared"]) for r in tables.contested(spark, d).collect()} == want
+
+
+def test_band_pairs_compares_large_buckets(spark):
+    h = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3100, dtype=np.int64) & ~np.int64(63)  # one bucket in the first band
+    items = spark.createDataFrame([(i, int(x)) for i, x in enumerate(h)], "id long, h long")
+    want = {(a, b) for a in range(len(h)) for b in np.flatnonzero(np.bitwise_count((h[a] ^ h).view(np.uint64)) <= 20).tolist() if a < b}
+    pairs, skipped = similarity.band_pairs(items, "id", "h")
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and skipped.count() == 0
+    few, skipped = similarity.band_pairs(items, "id", "h", most=3000)
+    assert few.count() < len(want) and [r["size"] for r in skipped.collect()] == [3100]
