@@ -93,6 +93,72 @@ def test_op1_large_regions_go_on_with_pivots(spark, monkeypatch):
     assert got == classes(collected(df), 3, 80)
 
 
+def test_op1_dense_regions_end_in_blocks(spark, monkeypatch):
+    """Texts that share one shingle are about as far from each other as from any pivot: one round, then blocks."""
+    monkeypatch.setattr(ngram_join, "SMALL_REGION", 64)
+    monkeypatch.setattr(ngram_join, "_levels", lambda sets, bits: np.zeros(1 << bits, dtype=np.uint8))
+    rounds, cells = [], ngram_join._cells
+    monkeypatch.setattr(ngram_join, "_cells", lambda *a: rounds.append(1) or cells(*a))
+    # the common shingle comes first in the order of hashes for most texts, as all counters are equal
+    common = min((" ".join(x) for x in zip(WORDS, WORDS[1:], WORDS[2:], WORDS[3:], strict=False)), key=lambda x: int(windows(of_text([x]), 4)[0][0]))
+    rng = random.Random(6)
+    rows = [(i, f"{common} {rng.choice(WORDS[:30])} {rng.choice(WORDS)}", *[None] * 6) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.similar_sets(df, 4, 85).collect())
+    assert got == classes(collected(df), 4, 85)
+    assert len(rounds) == 1
+
+
+def test_op1_pairs_of_one_cell_against_brute_force():
+    """Forests, doubtful groups and settled links of a cell, with long sets, whose sketches are wider, and held sets cut into blocks."""
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 2**63, 40_000, dtype=np.uint64) * np.uint64(2))
+    base = [np.sort(rng.choice(pool, size, replace=False)) for size in (40, 60, 6000, 9000)]
+    sets = []
+    for b in base:
+        for share in (1.0, 0.95, 0.9, 0.85, 0.8, 0.5):
+            keep = rng.random(len(b)) < share
+            sets.append(np.unique(np.r_[b[keep], rng.integers(0, 2**63, int((1 - share) * len(b) / 2), dtype=np.uint64)]))
+    sets.sort(key=len)
+    n = np.array([len(x) for x in sets])
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * ngram_join.overlap(sets[i], sets[j]) >= 80 * (n[i] + n[j] - ngram_join.overlap(sets[i], sets[j]))}
+    assert all(ngram_join.overlap(sets[i], sets[j]) == len(set(sets[i].tolist()) & set(sets[j].tolist())) for i in range(0, 24, 5) for j in range(24))
+
+    def parts(pairs):
+        root = np.arange(len(sets))
+        for i, j in pairs:
+            ngram_join.merged(root, i, j)
+        return {frozenset(np.flatnonzero(root == r).tolist()) for r in root}
+
+    sketches = [ngram_join.sketch(x) for x in sets]
+    assert {len(k) for k in sketches} >= {512, 2048}
+    got = ngram_join.settled(n, np.arange(len(sets)), sets, 80)
+    assert set(got) <= linked and parts(got) == parts(linked)
+    near = {(i, j) for i, js in ngram_join.near(n, np.arange(len(sets)), sketches, 80) for j in js.tolist()}
+    assert linked <= near and len(near) < len(sets) ** 2 / 4
+    assert len(ngram_join.forest(n, np.arange(len(sets)), sketches, 80)) < len(sets)
+    for held in (1 << 23, 4000):
+        ngram_join.MOST_HELD, was = held, ngram_join.MOST_HELD
+        groups = [set(g.tolist()) for g in ngram_join.doubtful(n, np.arange(len(sets)), sketches, 80)]
+        ngram_join.MOST_HELD = was
+        assert all(any({i, j} <= g for g in groups) for i, j in near)
+
+
+def test_op1_sets_with_one_id_take_their_second_digest(spark, monkeypatch):
+    ids = ngram_join.set_ids
+
+    def poor(h, at, clash=ngram_join._NONE):
+        a, b = ids(h, at)
+        a = np.where(np.diff(at) > 0, a % 7 + 1, 0)
+        return ngram_join.renamed(a, b, clash), b
+
+    monkeypatch.setattr(ngram_join, "set_ids", poor)
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t u {i // 3}", *[None] * 6) for i in range(30)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.similar_sets(df, 4, 85).collect())
+    assert got == classes(collected(df), 4, 85)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, i) for i in range(60, 90)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
