@@ -84,7 +84,7 @@ class Ftrl:
         rng = np.random.default_rng(8)
         for _ in range(self.passes):
             for i in rng.permutation(len(rows)):
-                at, x = np.append(rows[i][0], n - 1), np.append(rows[i][1], 1.0)
+                at, x = np.append(rows[i][0], n - 1), np.append(rows[i][1].astype(np.float64), 1.0)
                 w = self._weights(z[at], s[at])
                 g = (sigmoid(np.array(w @ x)) - y[i]) * x
                 more = s[at] + g * g
@@ -194,7 +194,9 @@ def gathered(rows: DataFrame, features: Callable, valued: bool) -> list[tuple]:
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j].cast(pa.int64()), b.column(1)[i:j].cast(pa.int32()), pa.array([p for p, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], names=["id", "y", "f", "v"])
 
     got = rows.mapInArrow(run, "id long, y int, f binary, v binary").toArrow().sort_by([("id", "ascending"), ("f", "ascending")])
-    return [(y, np.frombuffer(f, dtype=np.int32 if valued else U64), np.frombuffer(v, dtype=np.float32)) for y, f, v in zip(*(got[c].to_pylist() for c in ("y", "f", "v")), strict=True)]
+    # views of the columns' own bytes: the driver holds the sample once
+    (f, at), (v, of) = flat(got["f"]), flat(got["v"])
+    return [(y, f[at[k] : at[k + 1]].view(np.int32 if valued else U64), v[of[k] : of[k + 1]].view(np.float32)) for k, y in enumerate(got["y"].to_pylist())]
 
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -246,7 +248,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mos
 
 def quality_model(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, **options) -> Score:
     rows = gathered(labelled(docs, labels, "quality", most), ngram_features, valued=True)
-    model = Ftrl(**options).fit([(f, v.astype(np.float64)) for _, f, v in rows], np.array([y for y, _, _ in rows], dtype=float))
+    model = Ftrl(**options).fit([(f, v) for _, f, v in rows], np.array([y for y, _, _ in rows], dtype=float))
     weights, bias = model[:-1], float(model[-1])
 
     def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -26,16 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.shared import drop, path_of, release, without, written
+from tarn.llm.shared import bit_filter, drop, path_of, release, without, written
 from tarn.llm.text import U64, cut, distinct, flat, mix, windows, words
 
 #: Counters that estimate how often shingles occur; they only set the order, so that collisions cost time, never links.
 #: One bit more for each doubling of the input's partitions beyond FEW_PARTS.
 COUNTER_BITS, MOST_COUNTER_BITS, FEW_PARTS = 22, 24, 512
 CHUNK = 1 << 16
-#: Words of the bit filter that keeps the sets of texts without candidates from being sent, at least and at most, by the
-#: counted ids; false positives cost time only.
-FILTER_WORDS, MOST_FILTER_WORDS = 1 << 20, 1 << 22
 #: Regions up to this size are compared inside a task, by sketches: SKETCH counts at least, and a quarter of the set's
 #: size or more, so that long sets stay apart. They are folded to a quarter first.
 SMALL_REGION, SKETCH = 4096, 512
@@ -104,12 +101,14 @@ def _levels(sets: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"chunk": group["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = sets.where(F.col("chunk").isNotNull()).select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").toArrow()
-    total = np.zeros((1 << bits) // CHUNK * CHUNK, dtype=np.uint32).reshape(-1, CHUNK)
-    for k, x in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-        total[k] = np.frombuffer(x, dtype=np.uint32)
-    even = total.mean()
+    parts = dict(zip(rows["chunk"].to_pylist(), rows["counts"], strict=True))
+    even = sum(int(np.frombuffer(x.as_py(), dtype=np.uint32).sum(dtype=np.int64)) for x in parts.values()) / (1 << bits)
     floor = even + 6 * np.sqrt(even) + 16
-    return np.minimum(np.where(total > floor, 1 + np.log2(np.maximum(total, 1) / floor), 0), 15).astype(np.uint8).ravel()
+    levels = np.zeros(((1 << bits) // CHUNK, CHUNK), dtype=np.uint8)
+    for k, x in parts.items():  # one chunk at a time: the driver holds no more than the counts and the levels
+        total = np.frombuffer(x.as_py(), dtype=np.uint32)
+        levels[k] = np.minimum(np.where(total > floor, 1 + np.log2(np.maximum(total, 1) / floor), 0), 15)
+    return levels.ravel()
 
 
 def _entries(docs: DataFrame, n: int, clash: np.ndarray, percent: int, levels) -> DataFrame:
@@ -209,14 +208,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int, clash: np.ndarray, sketche
     are sent, and the join drops them.
     """
     spark = docs.sparkSession
-    size = FILTER_WORDS
-    while size < MOST_FILTER_WORDS and size * 4 < ids.count():
-        size *= 2
-    slot = F.col("sid").bitwiseAND(F.lit((size << 6) - 1))
-    bits = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(sid & 63 as int))")).alias("b")).toArrow()
-    table = np.zeros(size, dtype=np.int64)
-    table[bits["w"].to_numpy()] = bits["b"].to_numpy()
-    sent = spark.sparkContext.broadcast(table)
+    sent = spark.sparkContext.broadcast(bit_filter(ids, "sid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, seen = sent.value, set()
@@ -230,7 +222,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame, n: int, clash: np.ndarray, sketche
                 yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array([(sketch(x) if sketches else x).tobytes() for x in sets], pa.binary())], names=["sid", "set"])
 
     got = docs.select("_text").mapInArrow(run, "sid long, set binary").join(ids, "sid", "left_semi")
-    return written(got.groupBy("sid").agg(F.first("set").alias("set")), "sketches" if sketches else "shingles")
+    got = written(got.groupBy("sid").agg(F.first("set").alias("set")), "sketches" if sketches else "shingles")
+    sent.destroy()
+    return got
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -330,16 +324,16 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _by_cell(rows: DataFrame, work, kind: str) -> DataFrame:
-    """``work(sid, n, comp, bodies)`` for the rows (cell, sid, n, comp, set) of each cell, members by size, sent out as it comes.
+    """``work(cell, sid, n, comp, bodies)`` for the rows (cell, sid, n, comp, set) of each cell, members by size, sent out as it comes.
 
     Rows stream by cell; a cell is held as a whole, its size is bounded by SMALL_REGION or MOST_HELD.
     """
     names = [x.split()[0] for x in kind.split(", ")]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def done(sid, n, comp, bodies) -> pa.RecordBatch:
+    def done(cell, sid, n, comp, bodies) -> pa.RecordBatch:
         order = np.lexsort((sid, n))
-        got = work(sid[order], n[order].astype(np.int64), np.unique(comp[order], return_inverse=True)[1], [bodies[k] for k in order.tolist()])
+        got = work(cell, sid[order], n[order].astype(np.int64), np.unique(comp[order], return_inverse=True)[1], [bodies[k] for k in order.tolist()])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +348,10 @@ def _by_cell(rows: DataFrame, work, kind: str) -> DataFrame:
                     held = (held[0], *[np.r_[x, y] for x, y in zip(held[1:4], part[1:4], strict=True)], held[4] + part[4])
                 else:
                     if held:
-                        yield done(*held[1:])
+                        yield done(*held)
                     held = part
         if held:
-            yield done(*held[1:])
+            yield done(*held)
 
     rows = rows.select("cell", "sid", "n", "comp", "set").repartition(parts, "cell").sortWithinPartitions("cell")
     return rows.mapInArrow(run, kind)
@@ -372,18 +366,19 @@ def _ordered(sid: np.ndarray, n: np.ndarray, pairs: list[tuple[int, int]]) -> li
 
 
 def _forest(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(a, b, an, bn): of each cell, fewer pairs than it has members."""
+    """(cell, a, b, an, bn): of each cell, fewer pairs than it has members."""
 
-    def work(sid, n, comp, bodies):
-        return _ordered(sid, n, forest(n, comp, [np.frombuffer(x, dtype=np.uint8) for x in bodies], percent))
+    def work(cell, sid, n, comp, bodies):
+        pairs = forest(n, comp, [np.frombuffer(x, dtype=np.uint8) for x in bodies], percent)
+        return [np.full(len(pairs), cell), *_ordered(sid, n, pairs)]
 
-    return _by_cell(cells.join(sketches, "sid"), work, "a long, b long, an int, bn int").distinct()
+    return _by_cell(cells.join(sketches, "sid"), work, "cell long, a long, b long, an int, bn int")
 
 
 def _doubtful(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(cell, sid, n, comp): members that sketches can't tell apart, in cells of their own; equal ones are one."""
 
-    def work(sid, n, comp, bodies):
+    def work(cell, sid, n, comp, bodies):
         groups = doubtful(n, comp, [np.frombuffer(x, dtype=np.uint8) for x in bodies], percent)
         at = np.concatenate(groups) if groups else np.zeros(0, dtype=np.int64)
         names = [mix(np.array([mix(sid[g].view(U64)).sum(dtype=U64)])) for g in groups]
@@ -396,7 +391,7 @@ def _doubtful(cells: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _settled(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of linked sets of different classes: fewer than a group has members."""
 
-    def work(sid, n, comp, bodies):
+    def work(cell, sid, n, comp, bodies):
         return _ordered(sid, n, settled(n, comp, [np.frombuffer(x, dtype=U64) for x in bodies], percent))[:2]
 
     return _by_cell(groups.join(sets, "sid"), work, "a long, b long").distinct()
@@ -445,8 +440,7 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     if len(clash):
         rows = written(_renamed(rows, clash), "renamed")
         classes = gathered()
-    links = _links(thin, sets, n, percent, clash, bits)
-    comps = components(links)
+    comps = _links(thin, sets, n, percent, clash, bits)
     # the least id of each class's rows, then of each component's classes
     least = written(classes.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), "_least"), "members")
     ids = written(least.groupBy("comp").agg(F.min("_least").alias("component_id")), "names")  # so that the join below can be split
@@ -473,10 +467,11 @@ def _renamed(rows: DataFrame, clash: np.ndarray) -> DataFrame:
 
 
 def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, clash: np.ndarray, bits: int) -> DataFrame:
-    """(a, b) of linked sets: enough of them that their chains are those of all links."""
+    """(node, component) of linked sets, from enough links that their chains are those of all."""
     spark = thin.sparkSession
     levels = spark.sparkContext.broadcast(_levels(sets, bits))
     regions = _regions(_entries(thin, n, clash, percent, levels))
+    levels.destroy()
     pair = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("xn")).otherwise(F.col("yn")).alias("an"), F.when(F.col("x") < F.col("y"), F.col("yn")).otherwise(F.col("xn")).alias("bn")).distinct()
     stars = pair(regions.where(F.col("sid") != F.col("pivot")).where(_fits("n", "pn", percent)).select(F.col("sid").alias("x"), F.col("pivot").alias("y"), F.col("n").alias("xn"), F.col("pn").alias("yn")))
     stars = written(stars, "stars")
@@ -485,10 +480,17 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, clash: np.nda
     done = [_overlaps(written(_alike(stars, sketches, percent), "stars"), thin, n, clash)]
     more: list[DataFrame] = []
     linked = lambda: reduce(DataFrame.unionByName, [reduce(DataFrame.unionByName, done).where(F.col("common") * 100 >= (F.col("an") + F.col("bn") - F.col("common")) * percent).select("a", "b"), *more])
-    opened = lambda cells: _open(cells, components(linked()).withColumnRenamed("node", "sid"))
+    known: dict[int, DataFrame] = {}
+
+    def comps() -> DataFrame:
+        k = len(done) + len(more)
+        if k not in known:
+            known[k] = components(linked())
+        return known[k].withColumnRenamed("node", "sid")
+
     cells, small = regions.select(F.col("s").alias("cell"), "sid", "n"), []
     for depth in count():
-        cells = opened(cells)
+        cells = _open(cells, comps())
         small.append(cells.where(F.col("size") <= SMALL_REGION).select("cell", "sid", "n"))
         many = cells.where(F.col("size") > SMALL_REGION)
         if not many.limit(1).count():
@@ -502,17 +504,18 @@ def _links(thin: DataFrame, sets: DataFrame, n: int, percent: int, clash: np.nda
         done.append(_overlaps(written(new, "pairs"), thin, n, clash))
         cells, dense = _cells(many, against, pivots, reduce(DataFrame.unionByName, done), percent)
         small.append(_blocks(dense, percent))
-    cells = opened(reduce(DataFrame.unionByName, small))
+    if len(small) > 1:
+        cells = _open(reduce(DataFrame.unionByName, small), comps())
     pairs = written(_forest(cells, sketches, percent), "pairs")
     if pairs.limit(1).count():
-        done.append(_overlaps(pairs, thin, n, clash))
-        cells = opened(cells.select("cell", "sid", "n"))
+        done.append(_overlaps(written(pairs.select("a", "b", "an", "bn").distinct(), "pairs"), thin, n, clash))
+        cells = _open(cells.select("cell", "sid", "n").join(pairs.select("cell").distinct(), "cell", "left_semi"), comps())
         # what sketches joined but sets don't may hide links between other members of the same classes
         groups = written(_doubtful(cells, sketches, percent), "doubtful")
         if groups.limit(1).count():
-            groups = groups.join(components(linked()).withColumnRenamed("node", "sid"), "sid", "left").select("cell", "sid", "n", F.coalesce("component", "sid").alias("comp"))
+            groups = groups.join(comps(), "sid", "left").select("cell", "sid", "n", F.coalesce("component", "sid").alias("comp"))
             more.append(written(_settled(groups, _sets_of(thin, groups.select("sid").distinct(), n, clash, sketches=False), percent), "settled"))
-    return written(linked(), "links")
+    return comps().withColumnRenamed("sid", "node")
 
 
 def _open(cells: DataFrame, comps: DataFrame) -> DataFrame:

@@ -6,11 +6,17 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a table that may be broadcast: of a few columns of numbers, some tens of MB at most.
 BROADCAST_ROWS = 200_000
+#: Bytes of a written table, as Spark holds it in memory, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Words of a bit filter, at least and at most.
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 20, 1 << 22
 #: Spark's pattern of a word.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -72,6 +78,38 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def weight(df: DataFrame) -> int:
+    """About the bytes that a table's rows take in memory: eight for each number and word of a row, and what strings and arrays hold."""
+
+    def of(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(F.transform(column, lambda x: of(x, kind.elementType)), F.lit(24).cast("long"), lambda a, x: a + x), F.lit(8)).cast("long")
+        if isinstance(kind, T.StructType):
+            return sum((of(column[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return F.lit(8)
+
+    return df.agg(F.sum(sum((of(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(24)).cast("long"))).first()[0] or 0
+
+
+def within_bytes(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the weighed table is within the bound; beyond it Spark shuffles, and splits skewed partitions."""
+    return F.broadcast(df) if weight(df) <= bound else df
+
+
+def bit_filter(ids: DataFrame, key: str) -> np.ndarray:
+    """A table of 64-bit words with one bit set for each id, by its low bits: 16 bits or more for each counted id, but 2**28 bits at most."""
+    n, size = ids.count(), FILTER_WORDS
+    while size < MOST_FILTER_WORDS and size * 4 < n:
+        size *= 2
+    slot = F.col(key).bitwiseAND(F.lit((size << 6) - 1))
+    bits = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(size, dtype=np.int64)
+    table[bits["w"].to_numpy()] = bits["b"].to_numpy()
+    return table
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
