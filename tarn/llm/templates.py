@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import small, without, written
+from tarn.llm.shared import within_bytes, without, written
 
 WINDOW = 5
 #: Share of an item's windows that a text must hold, slots agreeing, to count as contaminated.
@@ -36,58 +36,72 @@ def is_slot(token: Column) -> Column:
 
 def template_hash(words: Column) -> Column:
     """A hash of a window's template: placeholders without their values."""
-    return F.xxhash64(F.array_join(F.transform(words, lambda w: F.when(is_slot(w), F.substring(w, 1, 2)).otherwise(w)), " "))
+    return F.xxhash64(F.array_join(F.transform(words, template_of), " "))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, m, size, w, hash, values, anchor, anchor_at): windows that hold two plain words at least, or all words of a shorter item."""
+    """(item, m, size, w, hash, values, anchor, after, anchor_at): windows that hold two plain words at least, or all words of a shorter item.
+
+    The anchor is a plain word with the template of the word after it, the longest such pair: long ones are rare. An
+    item of one word has no word after it.
+    """
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").alias("item"), tokens(F.col("text")).alias("t")).where("t[0] <> ''").withColumn("size", F.least(F.lit(window), F.size("t")))
     # whether an item's first word is a name can't be told, so the first window only counts if there is no other
     w = items.select("item", "size", "t", F.explode(F.sequence(F.least(F.lit(1), F.size("t") - F.col("size")), F.size("t") - F.col("size"))).alias("w")).withColumn("values", F.slice("t", F.col("w") + 1, F.col("size")))
     plain = F.filter("values", lambda x: ~is_slot(x))
-    # the longest plain word stands for the window: long words are rare
-    w = w.withColumn("anchor", F.array_max(F.transform(plain, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]).where(F.size(plain) >= F.least(F.lit(2), F.col("size")))
-    w = w.withColumn("anchor_at", F.array_position("values", F.col("anchor")).cast("int") - 1).withColumn("hash", template_hash(F.col("values")))
+    after = F.slice("values", F.lit(2), F.greatest(F.lit(1), F.col("size") - 1))
+    pairs = F.filter(F.transform(F.arrays_zip(F.col("values").alias("a"), after.alias("b")), lambda x, i: F.struct((F.length(x["a"]) + F.length(F.coalesce(x["b"], F.lit("")))).alias("n"), (-i).alias("i"), x["a"].alias("a"), x["b"].alias("b"))), lambda x: ~is_slot(x["a"]) & (x["b"].isNotNull() | (F.col("size") == 1)))
+    w = w.where(F.size(plain) >= F.least(F.lit(2), F.col("size"))).withColumn("pair", F.array_max(pairs)).where("pair IS NOT NULL")
+    w = w.withColumn("anchor", F.col("pair.a")).withColumn("after", F.when(F.col("size") > 1, template_of(F.col("pair.b")))).withColumn("anchor_at", -F.col("pair.i")).withColumn("hash", template_hash(F.col("values")))
     m = w.groupBy("item").agg(F.count_distinct("hash").alias("m"))
-    return w.join(m, "item").select("item", "m", "size", "w", "hash", "values", "anchor", "anchor_at")
+    return w.join(m, "item").select("item", "m", "size", "w", "hash", "values", "anchor", "after", "anchor_at")
+
+
+def template_of(token: Column) -> Column:
+    return F.when(is_slot(token), F.substring(token, 1, 2)).otherwise(token)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, n_slots, changed) of each text that holds a benchmark item.
 
     A text that holds the share ``coverage`` of an item's m windows lacks at most (1 - coverage) m of them, so it holds
-    one of any floor((1 - coverage) m) + 1: those with the longest anchor words. Tokens of the texts meet these anchors
-    in one pass; only where the whole window's hash fits does anything go on. Each such text then meets all windows of
-    the item, alignment by alignment; windows whose slots contradict the rest of the alignment don't count. ``n_slots``: values of
-    an alignment, ``changed``: those that the text has others for.
+    one of any floor((1 - coverage) m) + 1: those with the longest anchors. Pairs of words of the texts meet these
+    anchors, each once however many items share it, in one pass; only where the whole window's hash fits does anything
+    go on. Each such text then meets all windows, alignment by alignment; windows whose slots contradict the rest of the
+    alignment don't count. ``n_slots``: values of an alignment, ``changed``: those that the text has others for.
 
-    The benchmark side is broadcast only if its counted windows are within the bound. Null texts and null or empty items
+    What is broadcast is weighed first; beyond ``BROADCAST_BYTES`` it is shuffled. Null texts and null or empty items
     match nothing, repeated rows come as often as they occur in one row per doc_id and text, items without a window of
     two plain words can't be told from others and match nothing; empty tables give an empty result.
     """
     windows = written(item_windows(benchmark, window), "item-windows")
-    n = windows.count()
-    place = F.array_sort(F.collect_list(F.struct((-F.length("anchor")).alias("o"), "w", "hash", "anchor", "anchor_at", "size")))
+    place = F.array_sort(F.collect_list(F.struct((-F.length("anchor") - F.length(F.coalesce("after", F.lit("")))).alias("o"), "w", "hash", "anchor", "after", "anchor_at", "size")))
     chosen = windows.groupBy("item", "m").agg(place.alias("a"))  # an item is one text: its windows are few
     few = F.floor(F.lit(1 - coverage) * F.col("m") + F.lit(1e-9)).cast("int") + 1
     # equal windows of an item count once in m, so the slice is of distinct ones
     first = F.filter("a", lambda x, i: ~F.exists(F.slice(F.col("a"), 1, i), lambda y: y["hash"] == x["hash"]))
-    anchors = chosen.select("item", F.explode(F.slice(first, F.lit(1), few)).alias("x")).select("item", F.col("x.hash").alias("hash"), F.col("x.anchor").alias("anchor"), F.col("x.anchor_at").alias("anchor_at"), F.col("x.size").alias("size"))
-    anchors = small(anchors, n)
+    anchors = chosen.select(F.explode(F.slice(first, F.lit(1), few)).alias("x")).select("x.hash", "x.anchor", "x.after", "x.anchor_at", "x.size").distinct()
+    anchors = within_bytes(written(anchors, "anchors"))
     # the exploded rows carry no array: those few that meet an anchor go back to their texts
     text = F.coalesce(F.col("text"), F.lit(""))
-    flat = docs.select("doc_id", F.xxhash64(text).alias("text"), F.posexplode(tokens(text)).alias("pos", "token"))
-    met = flat.join(anchors, F.col("token") == F.col("anchor")).select("doc_id", "text", "item", "size", "hash", (F.col("pos") - F.col("anchor_at")).alias("from")).where("from >= 0")
-    met = written(met, "anchors-met")
-    near = written(met.groupBy("doc_id", "text").agg(F.collect_list(F.struct("item", "size", "hash", "from")).alias("at")), "texts-met")  # of one text, so bounded by it
-    near = small(near.withColumnsRenamed({"doc_id": "_id", "text": "_text"}), near.count())
+    split = docs.select("doc_id", text.alias("_whole"), tokens(text).alias("t"))  # apart, so that it is done once
+    two = F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))
+    flat = split.select("doc_id", F.xxhash64("_whole").alias("text"), F.posexplode(two).alias("pos", "x")).select("doc_id", "text", "pos", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    # the second word is only looked at where the first fits
+    met = flat.join(anchors, (F.col("a") == F.col("anchor")) & (F.col("after").isNull() | (F.col("after") == template_of(F.col("b")))))
+    met = met.select("doc_id", "text", "size", "hash", (F.col("pos") - F.col("anchor_at")).alias("from"))
+    near = met.where("from >= 0").groupBy("doc_id", "text").agg(F.collect_set(F.struct("size", "hash", "from")).alias("at"))  # of one text, so bounded by it
+    near = within_bytes(written(near.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "at"), "texts-met"))
     whole = docs.select("doc_id", text.alias("_whole"), F.xxhash64(text).alias("text"))
     hits = whole.join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text") == F.col("_text"))).select("doc_id", "text", tokens(F.col("_whole")).alias("t"), "at")
-    fits = F.filter("at", lambda x: (x["from"] + x["size"] <= F.size("t")) & (template_hash(F.slice("t", x["from"] + 1, x["size"])) == x["hash"]))
-    found = hits.select("doc_id", "text", "t", F.explode(fits).alias("x")).select("doc_id", "text", "t", F.col("x.item").alias("item"), F.col("x.size").alias("size"))
-    pairs = written(found.groupBy("doc_id", "item", "size", "text").agg(F.first("t").alias("t")), "hits")
-    placed = pairs.select("doc_id", "item", "text", "size", "t", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("from")).select("doc_id", "item", "text", "from", F.slice("t", F.col("from") + 1, F.col("size")).alias("theirs")).withColumn("hash", template_hash(F.col("theirs")))
-    met = placed.join(small(windows.select("item", "hash", "w", "m", "values"), n), ["item", "hash"]).withColumn("shift", F.col("from") - F.col("w"))
+    fits = F.exists("at", lambda x: (x["from"] + x["size"] <= F.size("t")) & (template_hash(F.slice("t", x["from"] + 1, x["size"])) == x["hash"]))
+    hits = written(hits.where(fits).select("doc_id", "text", "t"), "hits")
+    sizes = within_bytes(written(windows.select("size").distinct(), "sizes"))  # no more than WINDOW rows
+    # the windows leave their text behind before they are dealt out, so no row of a window carries it
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("t") - F.col("size"))), lambda i: F.struct(i.alias("from"), F.slice("t", i + 1, F.col("size")).alias("theirs")))
+    placed = hits.join(sizes, F.size("t") >= F.col("size")).select("doc_id", "text", each.alias("each")).select("doc_id", "text", F.explode("each").alias("x")).select("doc_id", "text", "x.*").withColumn("hash", template_hash(F.col("theirs")))
+    right = within_bytes(written(windows.select("item", "hash", "w", "m", "values"), "windows"))
+    met = placed.join(right, "hash").withColumn("shift", F.col("from") - F.col("w"))
     slots = F.filter(F.transform(F.arrays_zip(F.col("values").alias("a"), F.col("theirs").alias("b")), lambda s, i: F.struct(s["a"].alias("a"), s["b"].alias("b"), (F.col("w") + i).alias("at"))), lambda s: is_slot(s["a"]))
     key = ["doc_id", "text", "item", "shift"]
     met = written(met.select(*key, "m", "hash", slots.alias("slots")), "met")
