@@ -52,26 +52,36 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     sources is broadcast only if its rows are counted to be few.
     """
     thin = written(docs.select("doc_id", "source", n_words(text_or_empty()).alias("size")), "sizes")
-    sizes = written(targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most=most), "targets")
-    right = small(sizes.select(F.col("source").alias("_source"), "source_size", "target"), sizes.count())
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    whole = F.floor("rate")
+    right = rates(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "_source")
     return (
         thin.join(right, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("rate", rate)
-        .withColumn("copies", whole + (uniform(seed, F.col("doc_id")) < F.col("rate") - whole).cast("long"))
+        .withColumn("copies", n_copies(F.col("doc_id"), F.col("rate"), seed))
         .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def rates(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """(source, source_size, target, rate), to be broadcast if its rows are counted to be few."""
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    got = written(targets(sizes, weights, most=most), "targets")
+    return small(got.withColumn("rate", rate), got.count())
+
+
+def n_copies(key: Column, rate: Column, seed: int) -> Column:
+    return F.floor(rate) + (uniform(seed, key) < rate - F.floor(rate)).cast("long")
+
+
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """The mixed documents themselves: each row of ``docs``, with all its columns, as often as ``mix`` says.
 
-    Ids are taken to be distinct; a row whose id is null is drawn as any other row.
+    A row's copies hang on its source and its id only, so texts stay where they are. An id with two sources is drawn by
+    the rate of each; a row whose id is null is drawn as any other row.
     """
-    key, n, k = (fresh(docs, x) for x in ("_key", "_copies", "_copy"))
-    got = mix(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).where(F.col(n) > 0)
-    return docs.join(got, F.col("doc_id").eqNullSafe(F.col(key))).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(k)).select(*docs.columns)
+    s, rate, k = (fresh(docs, x) for x in ("_source", "_rate", "_copy"))
+    sizes = docs.groupBy("source").agg(F.sum(n_words(text_or_empty())).alias("source_size"))
+    right = rates(sizes, weights, most).select(F.col("source").alias(s), F.col("rate").alias(rate))
+    got = docs.join(right, docs["source"].eqNullSafe(F.col(s))).withColumn(k, n_copies(F.col("doc_id"), F.col(rate), seed).cast("int")).where(F.col(k) > 0)
+    return got.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(k))).alias(k)).select(*docs.columns)
 
 
 SQL = """
