@@ -7,12 +7,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.shared import new_path, text_or_empty, written
+from tarn.llm.shared import bit_filter, new_path, text_or_empty, written
 
 CACHE = T.StructType([T.StructField("digest", T.StringType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
 #: Pieces whose counts a worker remembers; beyond it the memory starts anew.
@@ -82,8 +83,9 @@ def token_counts(docs: DataFrame, model: str | None = None, cache: str | None =
     """Tokens of each whole text, as the model's library gives them, without begin, end or special tokens.
 
     Texts meet the cache (a Parquet folder: digest, version, n_tokens) by their SHA-256 and the model file's. Of those it
-    lacks, each distinct one is encoded once and appended. Without ``cache`` a new folder in the shared one serves. Only
-    the texts to encode are shuffled, by id, so copies without number load no single task.
+    lacks, each distinct one is encoded and appended. Without ``cache`` a new folder in the shared one serves. Texts are
+    never shuffled: one row for each digest is chosen by digests and ids alone, a bit filter tells the tasks that read the
+    texts which these are, and they encode them on the spot; where it has too few bits, some texts are encoded twice.
 
     Returns, for each row: id_col, digest, n_bytes, n_tokens. A null text is an empty one and has 0 tokens; repeated rows
     give repeated rows; an empty table gives none; other columns are not looked at, whatever their names.
@@ -96,15 +98,21 @@ def token_counts(docs: DataFrame, model: str | None = None, cache: str | None =
     whole = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("digest", F.sha2("_text", 256))
     thin = written(whole.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "digests")
     misses = thin.groupBy("digest").agg(F.min("_id").alias("_first")).join(read(), "digest", "left_anti")
-    m = misses.select(F.col("_first"), F.col("digest").alias("_digest"))
-    todo = whole.join(m, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("digest") == F.col("_digest")), "left_semi").select("digest", "_text")
+    misses = written(misses.select("digest", F.xxhash64("_first", "digest").alias("row")), "misses")
+    sent = spark.sparkContext.broadcast(bit_filter(misses, "row"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count, wanted, seen = counter(path), sent.value, set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count(b.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
-
-    # a row that occurs twice, id and text, comes twice
-    found = todo.mapInArrow(encode, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+            row = b.column(0).to_numpy()
+            slots = row & ((len(wanted) << 6) - 1)
+            hit = np.flatnonzero((wanted[slots >> 6] >> (slots & 63)) & 1)
+            at = [k for k in hit.tolist() if not (row[k] in seen or seen.add(row[k]))]  # a row may occur twice
+            b = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(count(b.column(2).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+
+    rows = whole.select(F.xxhash64("_id", "digest").alias("row"), "digest", "_text")
+    found = rows.mapInArrow(encode, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).join(misses, "digest", "left_semi")
     found.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    sent.destroy()
     return thin.join(read(), "digest").select(F.col("_id").alias(id_col), "digest", "n_bytes", "n_tokens")

@@ -228,6 +228,9 @@ def test_op4_counts_and_cache(docs, tmp_path):
     assert stored.count() == len({r["text"] or "" for r in collected(docs)})
     token_counts.token_counts(docs, cache=cache).count()
     assert spark.read.parquet(cache).count() == stored.count()  # nothing was encoded again
+    more = docs.unionByName(docs.limit(1).withColumn("text", F.lit("a text that no one has counted")))
+    token_counts.token_counts(more, cache=cache).count()
+    assert spark.read.parquet(cache).count() == stored.count() + 1
 
 
 def test_op4_runs_of_spaces():
@@ -269,6 +272,86 @@ def test_op5_one_slot_discounts_its_own_windows_only(spark):
     assert {r["doc_id"] for r in templates.clean(df, bench).collect()} == {3, 5}
 
 
+def template_of(t):
+    return " ".join(x[:2] if x.startswith("0") else x for x in t)
+
+
+def item_matches(text_tokens, item_tokens):
+    """(matched, m) of an item against a text, by the definition: windows, alignments, majorities of the slots."""
+    k = min(5, len(item_tokens))
+    places = range(min(1, len(item_tokens) - k), len(item_tokens) - k + 1)
+    own = {w: item_tokens[w : w + k] for w in places if sum(not x.startswith("0") for x in item_tokens[w : w + k]) >= min(2, k)}
+    m = len({template_of(v) for v in own.values()})
+    shifts = defaultdict(list)
+    for w, v in own.items():
+        for i in range(len(text_tokens) - k + 1):
+            if template_of(text_tokens[i : i + k]) == template_of(v):
+                shifts[i - w].append((w, v, text_tokens[i : i + k]))
+    found = set()
+    for rows in shifts.values():
+        votes = defaultdict(lambda: defaultdict(set))
+        for w, v, x in rows:
+            for d, (a, b) in enumerate(zip(v, x, strict=True)):
+                if a.startswith("0"):
+                    votes[a][b].add(w + d)
+        means = {}
+        for a, bs in votes.items():
+            top = sorted((len(at) for at in bs.values()), reverse=True)
+            means[a] = max(bs, key=lambda b: len(bs[b])) if len(top) == 1 or top[0] > top[1] else None
+        found |= {template_of(v) for w, v, x in rows if all(means[a] == b for a, b in zip(v, x, strict=True) if a.startswith("0"))}
+    return len(found), m
+
+
+def test_op5_matches_brute_force(spark):
+    rng = random.Random(9)
+    hot = ["wonderful", "question"]  # the longest words stand in most items and texts, one after the other too
+    word = lambda: rng.choice(hot) if rng.random() < 0.3 else rng.choice(WORDS[:60]).replace("w", "w" + rng.choice("abc"))
+    item = lambda n: " ".join(str(rng.randint(1, 9)) if rng.random() < 0.2 else rng.choice(["Anna", "Boris", "Carla"]) if rng.random() < 0.1 else word() for _ in range(n))
+    items = [(i, item(rng.choice([3, 8, 20, 40]))) for i in range(25)] + [(30, "wonderful"), (31, None), (32, "")]
+    texts = []
+    for i in range(60):
+        body = rng.choice(items[:25])[1]
+        if i % 3 == 0:
+            body = re.sub(r"\d", lambda x: str(rng.randint(1, 9)), body)
+        if i % 3 == 1:
+            body = re.sub("Anna", "Dora", re.sub("[1-5]", "7", body))
+        texts.append((i, f"{item(rng.randint(0, 30))} {body} {item(rng.randint(0, 30))}"))
+    texts += [(60, None), (61, ""), (62, f"{item(9000)} {items[3][1]} {item(9000)}"), (63, "so wonderful"), (5, texts[5][1])]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    split = {r[0]: r[1] for r in bench.select("item_id", templates.tokens(F.col("text"))).collect()}
+    want = {}
+    for doc, t in {r[0]: r[1] for r in df.select("doc_id", templates.tokens(F.col("text"))).collect()}.items():
+        for i, x in split.items():
+            if x[0]:
+                got, m = item_matches(t, x)
+                if m and got >= 0.8 * m - 1e-9:
+                    want[doc, i] = (got, m)
+    assert {(r["doc_id"], r["item_id"]): (r["matched"], r["windows"]) for r in templates.contaminated(df, bench).collect()} == want and len(want) > 30
+    assert templates.contaminated(df, bench).count() == len(want)
+
+
+def test_what_is_weighed_is_broadcast_within_the_bound(spark):
+    from tarn.llm.shared import weight, within_bytes
+
+    df = spark.createDataFrame([(i, ["abc"] * 10, None) for i in range(1000)], "a long, b array<string>, c string")
+    assert 150_000 < weight(df) < 400_000 and weight(df.limit(0)) == 0
+    plan = lambda bound: spark.range(9).join(within_bytes(df, bound), F.col("id") == F.col("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(1 << 20) and "broadcast" not in plan(1 << 10)
+
+
+def test_op6_an_id_with_two_sources_is_drawn_by_each(spark):
+    rows = [(i % 50, "word " * (1 + i % 3), "a" if i < 50 else "b") for i in range(1050)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_rate", F.lit("x")).withColumn("_SOURCE", F.lit(1))
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r["doc_id"], r["source"]] += r["copies"]
+    got = mixing.apply_mix(df)
+    assert got.columns == df.columns
+    assert Counter((r["doc_id"], r["source"]) for r in got.collect()) == +want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(doc_id" not in plan  # texts stay where they are
+
+
 def test_op6_targets_and_copies(docs, spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 0), ("d", 5)], "source string, source_size long")
     got = {r["source"]: r for r in mixing.targets(sizes).collect()}
