@@ -18,7 +18,7 @@ _TABLES = (
 )
 _STREAMS = (
     "monobit block_freq runs longest_run cusum_z excursion_visits excursion_bins pattern_counts psi2 phi universal_fn overlapping_templates"
-    " non_overlapping_templates rank_test linear_complexity spectral bit_suite byte_bits sign_hashes band_pairs alike_pairs clusters dup_lcs"
+    " non_overlapping_templates rank_test linear_complexity spectral bit_suite bit_suite_full byte_bits sign_hashes band_pairs alike_pairs clusters dup_lcs"
 )
 
 QUERIES: dict[str, Query] = {n: getattr(m, n) for m, names in ((tables, _TABLES), (streams, _STREAMS)) for n in names.split()}

@@ -12,7 +12,7 @@ from tarn.operators.scan import sequenced
 #: Folders of code that is not one's own (fixed values).
 VENDORED = (".git", "build", "builds", "nimcache", ".nimble_cache", "dist", "node_modules", "submodules")
 #: Endings of source files that are read (fixed values).
-SOURCES = ("nim", "nims", "c", "h", "cpp", "hpp", "js", "ts", "py", "rs", "go", "java", "css", "html")
+SOURCES = ("nim", "c", "h", "cpp", "hpp", "js", "ts", "html", "css", "json", "toml", "md", "py", "sh")
 
 
 def _any_of(words: tuple[str, ...]) -> str:
@@ -24,8 +24,9 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/\\]\.([^./\\]+)$", 1))
 
 
-def is_ignored(path: Column, tests: bool = False) -> Column:
-    names = VENDORED + (("tests",) if tests else ())
+def is_ignored(path: Column, tests: bool = False, more: tuple[str, ...] = ()) -> Column:
+    """Below a folder of other people's code, or one of ``more``, such as the scratch folder of a tool."""
+    names = VENDORED + (("tests",) if tests else ()) + more
     return F.lower(F.concat(F.lit("/"), F.translate(path, "\\", "/"), F.lit("/"))).rlike(f"/({_any_of(names)})/")
 
 
@@ -51,10 +52,11 @@ def line_letter(line: Column) -> Column:
     """One letter for what a code line does; null for blank and comment lines. The first rule that fits counts."""
     s = F.trim(line)
     starts = lambda *w: reduce(lambda a, b: a | b, [s.startswith(x) for x in w])
+    # the rules in order (fixed values)
     rules = [
-        ("F", starts("for ")), ("W", starts("while ")), ("I", starts("if ", "when ")), ("E", starts("elif ", "else")), ("C", starts("case ")), ("O", starts("of ")),
-        ("T", starts("try")), ("X", starts("except", "finally")), ("R", starts("return", "result")), ("V", starts("var ", "let ")), ("A", starts("assert", "doAssert", "raise")),
-        ("K", s.contains("(")),
+        ("F", starts("for ")), ("W", starts("while ")), ("E", starts("elif ", "else")), ("I", starts("if ")), ("C", starts("case ")), ("O", starts("of ")),
+        ("T", starts("try", "except", "finally")), ("X", starts("raise ", "quit")), ("R", starts("return", "result")), ("V", starts("var ", "let ", "const ")),
+        ("A", s.contains("=") & ~s.contains("==")), ("K", s.contains("(")),
     ]
     out = F.when((s == "") | s.startswith("#"), F.lit(None).cast("string"))
     for letter, rule in rules:
@@ -84,34 +86,42 @@ def verdict(tests: Column, edge: Column, regression: Column) -> Column:
     return F.when(tests == 0, "unchecked").when(~edge & ~regression, "shallow").otherwise("solid")
 
 
-#: Languages and the strong and weak words that tell them (fixed values).
-SIGNATURES = {
-    "html": (("<div", "<span", "<!doctype", "<html"), ("class=", "<p>", "</", "href=")),
-    "js": (("function(", "=>", "document."), ("const ", "let ", "var ", "return ")),
-    "css": (("display:", "margin:", "padding:"), ("color:", "px;", "font-")),
-    "sql": (("select ", "insert into", "create table"), (" from ", " where ", " join ")),
-    "python": (("def ", "import ", "self."), ("elif ", "print(", "none")),
-    "c": (("#include", "int main", "void "), ("->", "printf(", "struct ")),
-    "shell": (("#!/bin", "echo ", "fi\n"), ("then", "done", "export ")),
-}
+#: Languages, how each writes a comment, and the strong and weak words that tell it (fixed values).
+SIGNATURES = (
+    ("html", "<!-- -->", ("<!doctype", "<html", "<body", "<head>", "</div>", "</span>"), ("<div", "<p>", "<a ", "<table", "class=", "href=", "</")),
+    ("css", "/* */", ("@media", "@keyframes", "!important"), ("px;", "rem;", "margin:", "padding:", "color:", "background:", "display:", "border:")),
+    ("javascript", "//", ("function ", "=>", "document.", "console.", "addEventListener", "querySelector"), ("const ", "let ", "var ", "return ", "null", "undefined", "typeof ", "new Set(", "JSON.")),
+    ("typescript", "//", ("interface ", "implements ", "as const", ": Promise<", "readonly "), (": string", ": number", ": boolean", "export type", "<T>")),
+    ("c", "//", ("#include", "int main(", "printf(", "malloc(", "size_t ", "typedef struct"), ("unsigned ", "->", "NULL", "sizeof(", "static void", "char *")),
+    ("opencl", "//", ("__kernel", "get_global_id", "__global", "__local", "barrier(CLK"), ("float4", "int4", "uchar", "clEnqueue")),
+    ("objectivec", "//", ("@interface", "@implementation", "NSString", "@autoreleasepool", "nonatomic"), ("[[", "alloc]", "@property", "NSObject")),
+    ("python", "#", ("def ", "elif ", "__init__", "self.", "lambda ", "if __name__"), ("None", "True", "False", "print(", "import ", "except ", "raise ")),
+    ("assembly", ";", (".globl", ".section", "movq ", "pushq ", "%rax", "%rsp", "xmm0"), ("mov ", "push ", "pop ", "jmp ", "ret", "call ", "nop")),
+    ("sql", "--", ("select ", "insert into", "create table", "left join"), (" from ", " where ", " group by ", " order by ")),
+    ("shell", "#", ("#!/bin/sh", "#!/bin/bash", "esac", "fi;"), ("echo ", "$(", "then", "done", "elif ")),
+)
+#: What opens and closes a string of several lines, by the file's ending, and what a file of an ending is written in (fixed values).
+DELIMITERS = (("nim", '"""', '"""'), ("py", '"""', '"""'), ("py", "'''", "'''"), ("js", "`", "`"), ("ts", "`", "`"), ("html", "<script", "</script>"), ("html", "<style", "</style>"))
+HOSTS = {"js": "javascript", "ts": "typescript", "py": "python", "html": "html", "css": "css"}
 
 
 def classify(texts: DataFrame, key: str, least: int = 3) -> DataFrame:
-    """(key, language, score): strong words count 3 and weak ones 1, each once; the best score wins, the first of equal ones.
+    """(key, language, score): strong words count 3 and weak ones 1, each once, in any case; the best score wins, the first of equal ones.
 
-    Under ``least`` a text that looks like code is ``other``, and one that does not is left out.
+    Under ``least`` a text that looks like code is ``other`` with that score, and one that does not is left out.
     """
     t = F.lower("text")
-    score = lambda strong, weak: reduce(lambda a, b: a + b, [F.when(F.contains(t, F.lit(w)), n).otherwise(0) for ws, n in ((strong, 3), (weak, 1)) for w in ws])
-    scores = F.array(*[F.struct(score(*sw).alias("score"), F.lit(-i).alias("ord"), F.lit(lang).alias("language")) for i, (lang, sw) in enumerate(SIGNATURES.items())])
+    score = lambda strong, weak: reduce(lambda a, b: a + b, [F.when(F.contains(t, F.lit(w.lower())), n).otherwise(0) for ws, n in ((strong, 3), (weak, 1)) for w in ws])
+    scores = F.array(*[F.struct(score(strong, weak).alias("score"), F.lit(-i).alias("ord"), F.lit(lang).alias("language")) for i, (lang, _, strong, weak) in enumerate(SIGNATURES)])
     best = texts.select(key, F.array_max(scores).alias("b"), looks_like_code(F.col("text")).alias("code"))
-    return best.select(key, F.when(F.col("b.score") >= least, F.col("b.language")).when(F.col("code"), "other").alias("language"), F.col("b.score").alias("score")).where("language IS NOT NULL")
+    known = F.col("b.score") >= least
+    return best.select(key, F.when(known, F.col("b.language")).when(F.col("code"), "other").alias("language"), F.when(known, F.col("b.score")).otherwise(least).alias("score")).where("language IS NOT NULL")
 
 
 def looks_like_code(text: Column) -> Column:
     """Two or more lines that are not blank, at least half of them with an ending or a form of code."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    hits = F.filter(lines, lambda x: F.trim(x).rlike(r"[;{}:]$") | F.contains(x, F.lit("()")) | F.contains(x, F.lit(" = ")))
+    hits = F.filter(lines, lambda x: F.trim(x).rlike(r"[;{}:]$") | (F.contains(x, F.lit("(")) & F.contains(x, F.lit(")"))) | F.contains(F.trim(x), F.lit(" = ")))
     return (F.size(lines) >= 2) & (F.size(hits) * 2 >= F.size(lines))
 
 
@@ -155,14 +165,40 @@ def kept_share(old: Column, screen: Column) -> Column:
     return F.when(screen > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - old / screen)))
 
 
-def test_kind(name: Column) -> Column:
-    """The kind that the words of a test's name tell; the first rule that fits counts."""
-    n = F.lower(name)
-    out = F.when(n.rlike("bug|fix|issue"), "bugfix")
-    for word, kind in (("regress", "regression"), ("bench|perf", "benchmark"), ("edge|corner|boundary", "edge"), ("fuzz", "fuzz"), ("smoke", "smoke"), ("property|invariant", "property"), ("integration|end.to.end", "integration")):
-        out = out.when(n.rlike(word), kind)
+#: Words of a test's name and suite that tell its kind, in order (fixed values).
+KIND_WORDS = (
+    ("bugfix", ("bugfix", "bug #", "issue #")),
+    ("regression", ("regression", "must not come back", "stays fixed")),
+    ("benchmark", ("benchmark", "bench ", "throughput", "how fast", "speed of")),
+    ("edge case", ("edge", "empty", "boundary", "overflow", "zero-length", "out of range", "malformed", "truncated")),
+    ("fuzz", ("fuzz", "random")),
+    ("smoke", ("smoke", "starts at all")),
+    ("property", ("property", "invariant", "for every")),
+    ("integration", ("integration", "end to end", "together")),
+)
+
+
+def test_kind(name: Column, suite: Column | None = None) -> Column:
+    """The kind that the words of a test's name and suite tell; the first rule that fits counts."""
+    n = F.lower(F.concat(name, F.lit(" "), F.coalesce(suite, F.lit("")))) if suite is not None else F.lower(F.concat(name, F.lit(" ")))
+    out = F.when(F.lit(False), "")
+    for kind, some in KIND_WORDS:
+        out = out.when(reduce(lambda a, b: a | b, [F.contains(n, F.lit(w)) for w in some]), kind)
     return out.otherwise("unit")
 
 
-def setting_verdict(reads: Column, writes: Column) -> Column:
-    return F.when((reads == 0) & (writes == 0), "untouched").when(reads == 0, "does nothing").when(writes == 0, "never set").when(writes >= 3, "contested").otherwise("fine")
+def pragma_kind(tag: Column) -> Column:
+    """The kind that a tag ``testKind: tkX`` declares; null for other tags, ``other`` for unknown kinds."""
+    t = F.lower(F.trim(tag))
+    value = F.regexp_replace(F.regexp_extract(t, "^testkind:(.*)$", 1), r"^[{} .]+|[{} .]+$", "")
+    known = {"tkunit": "unit", "tkedgecase": "edge case", "tkbenchmark": "benchmark", "tkregression": "regression", "tkbugfix": "bugfix", "tkintegration": "integration", "tkfuzz": "fuzz", "tksmoke": "smoke", "tkproperty": "property"}
+    out = F.when(~t.startswith("testkind:"), F.lit(None).cast("string"))
+    for word, kind in known.items():
+        out = out.when(value == word, kind)
+    return out.otherwise("other")
+
+
+def setting_verdict(reads: Column, writes: Column, has_default: Column | None = None) -> Column:
+    """A setting that nothing writes is never set only if it has no default."""
+    default = has_default if has_default is not None else F.lit(False)
+    return F.when((reads == 0) & (writes > 0), "does nothing").when(reads == 0, "untouched").when((writes == 0) & ~default, "never set").when(writes >= 3, "contested").otherwise("fine")

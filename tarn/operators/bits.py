@@ -27,7 +27,7 @@ RUN_MODEL = {
     10000: (0.0882, 0.2092, 0.2483, 0.1933, 0.1208, 0.0675, 0.0727),
 }
 #: Probabilities of the linear-complexity classes (fixed values).
-COMPLEXITY_MODEL = (0.01047, 0.03125, 0.125, 0.5, 0.25, 0.0625, 0.02078)
+COMPLEXITY_MODEL = (0.010417, 0.03125, 0.125, 0.5, 0.25, 0.0625, 0.020833)
 #: Expected value and variance of the universal statistic by block length (fixed values).
 UNIVERSAL_MODEL = {6: (5.2177052, 2.954), 7: (6.1962507, 3.125), 8: (7.1836656, 3.238), 9: (8.1764248, 3.311), 10: (9.1723243, 3.356), 11: (10.170032, 3.384), 12: (11.168765, 3.401), 13: (12.168070, 3.410), 14: (13.167693, 3.416), 15: (14.167488, 3.419), 16: (15.167379, 3.421)}
 
@@ -218,25 +218,43 @@ def linear_complexities(bits: DataFrame, m: int) -> DataFrame:
     return t.groupBy(k.alias("class")).agg(F.count(F.lit(1)).alias("blocks"))
 
 
-def spectral(bits: DataFrame) -> DataFrame:
+def spectral(bits: DataFrame, most: int | None = None) -> DataFrame:
     """(n, below, threshold): of the largest power of two of bits, transform values of the first half below the threshold.
 
-    One transform needs the whole prefix, so this is for one stream that a task can hold; many streams run in parallel.
+    The transform goes in two steps, columns and then rows of a nearly square table, so no task holds more than about the
+    root of the stream: X[k1 + n1 k2] is the transform over j of w^(j k1) times the transform over i of x[n2 i + j].
     """
     n = bits.count()
-    n2 = 1 << (n.bit_length() - 1) if n else 0
-    threshold = math.sqrt(math.log(1 / 0.05) * n2)
+    n = min(n, most) if most else n
+    total = 1 << (n.bit_length() - 1) if n else 0
+    n1 = 1 << ((max(total, 1).bit_length() - 1) // 2)
+    n2 = max(total // n1, 1)
+    threshold = math.sqrt(math.log(1 / 0.05) * total)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("pos")["bit"].to_numpy(dtype=float) * 2 - 1
-        below = int((np.abs(np.fft.fft(x))[: len(x) // 2] < threshold).sum())
-        return pd.DataFrame({"n": [len(x)], "below": [below], "threshold": [round(threshold, 6)]})
+    def columns(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        x = np.fft.fft(g.sort_values("i")["bit"].to_numpy(dtype=float) * 2 - 1)
+        x = x * np.exp(-2j * np.pi * key[0] * np.arange(n1) / total)
+        return pd.DataFrame({"k1": np.arange(n1), "j": key[0], "re": x.real, "im": x.imag})
 
-    return bits.where(F.col("pos") < n2).select("pos", "bit").groupBy().applyInPandas(run, "n long, below long, threshold double")
+    def rows(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("j")
+        x = np.abs(np.fft.fft(g["re"].to_numpy() + 1j * g["im"].to_numpy()))
+        k = key[0] + n1 * np.arange(n2)
+        return pd.DataFrame({"below": [int((x[k < total // 2] < threshold).sum())]})
+
+    x = bits.where(F.col("pos") < total).select((F.col("pos") % n2).alias("j"), F.floor(F.col("pos") / n2).alias("i"), "bit")
+    first = x.groupBy("j").applyInPandas(columns, "k1 long, j long, re double, im double")
+    below = first.groupBy("k1").applyInPandas(rows, "below long")
+    return below.agg(F.lit(total).cast("long").alias("n"), F.coalesce(F.sum("below"), F.lit(0)).alias("below"), F.lit(round(threshold, 6)).alias("threshold"))
+
+
+def parity(a: Column, b: Column) -> Column:
+    """Parity of the ones that two arrays of words have in common."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x) % 2
 
 
 def non_overlapping(bits: DataFrame, m: int, block: int, templates: int) -> DataFrame:
-    """(template, hits): greedy matches that do not overlap, of the patterns 1..templates of m bits, over all blocks."""
+    """(template, hits, squares): greedy matches that do not overlap, of the patterns 1..templates of m bits, over all blocks; and the sum of their squares."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -246,7 +264,8 @@ def non_overlapping(bits: DataFrame, m: int, block: int, templates: int) -> Data
                     rows.append((t, text.count(format(t, f"0{m}b"))))
             yield pd.DataFrame(rows, columns=["template", "hits"])
 
-    return blocks(bits, block).select("bits").mapInPandas(run, "template long, hits long").groupBy("template").agg(F.sum("hits").alias("hits"))
+    got = blocks(bits, block).select("bits").mapInPandas(run, "template long, hits long")
+    return got.groupBy("template").agg(F.sum("hits").alias("hits"), F.sum(F.col("hits") * F.col("hits")).alias("squares"))
 
 
 def gamma_q(a: float, x: float) -> float:
@@ -295,32 +314,162 @@ def cusum_p(z: float, n: int) -> float:
     return 1 - part(1, -1, (-n / z + 1) / 4, (n / z - 1) / 4) + part(3, 1, (-n / z - 3) / 4, (n / z - 1) / 4)
 
 
-def suite(bits: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(name, statistic, p, passed) of the diagnostics with closed p-values, on a stored stream (pos, bit, walk)."""
+#: Bits from which each longer block of the universal test is used, from 6 on (fixed values).
+UNIVERSAL_BITS = (387_840, 904_960, 2_068_480, 4_654_080, 10_342_400, 22_753_280, 49_643_520, 107_560_960, 231_669_760, 496_435_200, 1_059_061_760)
+#: Probabilities of 0 to 4 and of more visits of a cycle to the states 1 to 4 (fixed values).
+VISIT_MODEL = (
+    (0.5, 0.25, 0.125, 0.0625, 0.03125, 0.03125),
+    (0.75, 0.0625, 0.046875, 0.03515625, 0.0263671875, 0.0791015625),
+    (0.8333333333333334, 0.027777777777777776, 0.023148148148148147, 0.019290123456790122, 0.016075102880658436, 0.08037551435629237),
+    (0.875, 0.015625, 0.013671875, 0.011962890625, 0.010467529296875, 0.073272705078125),
+)
+
+
+def params(n: int) -> dict[str, int]:
+    """Sizes that suit a stream of n bits."""
+    return {
+        "block": 128, "pattern": 10, "longest": 10_000 if n >= 750_000 else 128 if n >= 6272 else 8, "rank": 32, "template": 9, "template_block": max(1032, n // 8),
+        "templates": 16, "overlap": 9, "overlap_block": 1032, "complexity": 500, "universal": max((6 + i for i, least in enumerate(UNIVERSAL_BITS) if n >= least), default=0),
+    }
+
+
+Row = tuple[str, float, float]
+
+
+def _value(df: DataFrame, name: str) -> float:
+    return float(df.first()[name] or 0)
+
+
+def _monobit(bits: DataFrame, n: int) -> Row:
+    s = _value(bits.agg(F.abs(F.sum(2 * F.col("bit") - 1)).alias("s")), "s") / math.sqrt(n) if n else 0.0
+    return "monobit", s, math.erfc(s / math.sqrt(2)) if n else 0.0
+
+
+def _block_frequency(bits: DataFrame, n: int, m: int) -> Row:
+    share = bits.where(F.col("pos") < n // m * m).groupBy(F.floor(F.col("pos") / m)).agg(F.avg("bit").alias("pi"))
+    x = 4 * m * _value(share.agg(F.sum(F.pow(F.col("pi") - 0.5, 2)).alias("x")), "x")
+    return ("block_frequency", x, gamma_q(n // m / 2, x / 2)) if n >= m else ("block_frequency", 0.0, 0.0)
+
+
+def _runs(bits: DataFrame, n: int) -> Row:
+    r = runs(bits).first()
+    if not n or not r["applies"]:
+        return "runs", 0.0, 0.0
+    pi = r["ones"] / n
+    return "runs", float(r["runs"]), math.erfc(abs(r["runs"] - 2 * n * pi * (1 - pi)) / (2 * math.sqrt(2 * n) * pi * (1 - pi)))
+
+
+def _binned(name: str, got: dict[int, int], labels: list[int], model: list[float], blocks: int, shape: float) -> Row:
+    """A chi square of counted classes; no whole block or an impossible class fails."""
+    if not blocks or not all(0 < p <= 1 for p in model):
+        return name, 0.0, 0.0
+    x = chi_square([got.get(c, 0) for c in labels], model, blocks)
+    return name, x, gamma_q(shape, x / 2)
+
+
+def _longest(bits: DataFrame, n: int, m: int) -> Row:
+    lo, hi = RUN_CLASSES[m]
+    return _binned(f"longest_run_m{m}", {x["class"]: x["blocks"] for x in longest_runs(bits, m).collect()}, list(range(lo, hi + 1)), list(RUN_MODEL[m]), n // m, (hi - lo) / 2)
+
+
+def _rank(bits: DataFrame, n: int, size: int) -> Row:
+    model = [rank_probability(size, size, k) for k in (size, size - 1)]
+    got = {x["rank"]: x["blocks"] for x in matrix_ranks(bits, size, size).collect()}
+    return _binned("rank", got, [size, size - 1, size - 2], [*model, 1 - sum(model)], n // (size * size), 1.0)
+
+
+def _spectral(bits: DataFrame) -> Row:
+    r = spectral(bits).first()
+    if r["n"] < 2:
+        return "spectral", 0.0, 0.0
+    x = (r["below"] - 0.95 * r["n"] / 2) / math.sqrt(r["n"] * 0.95 * 0.05 / 4)
+    return "spectral", x, math.erfc(abs(x) / math.sqrt(2))
+
+
+def _entropy(bits: DataFrame, n: int, m: int) -> Row:
+    part = F.col("n") / n if n else F.lit(0.0)
+    a, b = (_value(pattern_counts(bits, k).agg(F.sum(part * F.log(part)).alias("x")), "x") for k in (m, m + 1))
+    x = 2 * n * (math.log(2) - (a - b))
+    return (f"approx_entropy_m{m}", x, gamma_q(2.0 ** (m - 1), x / 2)) if n else (f"approx_entropy_m{m}", 0.0, 0.0)
+
+
+def _serial(bits: DataFrame, n: int, m: int) -> list[Row]:
+    if m < 3 or not n:
+        return [(f"serial_m{m}_{k}", 0.0, 0.0) for k in (1, 2)]
+    p2, p1, p0 = (2.0**k / n * _value(pattern_counts(bits, k).agg(F.sum(F.col("n") * F.col("n")).alias("x")), "x") - n for k in (m, m - 1, m - 2))
+    one, two = p2 - p1, p2 - 2 * p1 + p0
+    return [(f"serial_m{m}_1", one, gamma_q(2.0 ** (m - 2), one / 2)), (f"serial_m{m}_2", two, gamma_q(2.0 ** (m - 3), two / 2))]
+
+
+def _cusums(bits: DataFrame, n: int) -> list[Row]:
+    if not n:
+        return [("cumulative_sums", 0.0, 0.0)] * 2
+    z = [(k, _value(cusum(bits, k == "fwd"), "z")) for k in ("fwd", "rev")]
+    return [(f"cumulative_sums_{k}", x, cusum_p(x, n)) for k, x in z]
+
+
+def _templates(bits: DataFrame, n: int, m: int, block: int, templates: int) -> list[Row]:
+    mean, variance = (block - m + 1) * 2.0**-m, block * (2.0**-m - (2 * m - 1) * 2.0 ** (-2 * m))
+    k = n // block
+    if not k or block < m or variance <= 0:
+        return []
+    out = []
+    for r in sorted(non_overlapping(bits, m, block, templates).collect(), key=lambda r: r["template"]):
+        x = (r["squares"] - 2 * mean * r["hits"] + k * mean * mean) / variance
+        out.append((f"non_overlapping_m{m}_t{r['template'] - 1}", x, gamma_q(k / 2, x / 2)))
+    return out
+
+
+def _overlapping(bits: DataFrame, n: int, m: int, block: int) -> Row:
+    x = (block - m + 1) * 2.0**-m / 2
+    model = [math.exp(-x) * x**i / math.factorial(i) for i in range(5)]
+    got = {r["bin"]: r["blocks"] for r in overlapping_templates(bits, m, block).collect()}
+    return _binned(f"overlapping_template_m{m}", got, list(range(6)), [*model, 1 - sum(model)], n // block, 2.5)
+
+
+def _universal(bits: DataFrame, n: int, width: int) -> Row:
+    name, first = f"universal_statistical_L{width}", 10 * 2**width
+    if width not in UNIVERSAL_MODEL or n // width <= first:
+        return name, 0.0, 0.0
+    k, phi_ = n // width - first, _value(universal(bits, width, first), "fn")
+    mean, variance = UNIVERSAL_MODEL[width]
+    c = 0.7 - 0.8 / width + (4 + 32 / width) * k ** (-3 / width) / 15
+    return name, phi_, math.erfc(abs(phi_ - mean) / (math.sqrt(2) * c * math.sqrt(variance / k)))
+
+
+def _complexity(bits: DataFrame, n: int, m: int) -> Row:
+    got = {r["class"]: r["blocks"] for r in linear_complexities(bits, m).collect()}
+    return _binned(f"linear_complexity_m{m}", got, list(range(7)), list(COMPLEXITY_MODEL), n // m, 3.0)
+
+
+def _excursions(bits: DataFrame) -> list[Row]:
+    bins: dict[int, dict[int, int]] = {}
+    for r in excursion_bins(bits).collect():
+        bins.setdefault(r["state"], {})[r["bin"]] = r["cycles"]
+    cycles = sum(next(iter(bins.values()), {}).values())
+    if not cycles:
+        return []
+    out = [_binned(f"random_excursions_x{s}", bins.get(s, {0: cycles}), list(range(6)), list(VISIT_MODEL[abs(s) - 1]), cycles, 2.5) for s in range(-4, 5) if s]
+    visits = {r["state"]: r["visits"] for r in excursion_visits(bits, 9).collect()}
+    for s in range(-9, 10):
+        if s:
+            x = float(abs(visits.get(s, 0) - cycles))
+            out.append((f"random_excursions_variant_x{s}", x, math.erfc(x / math.sqrt(2 * cycles * (4 * abs(s) - 2)))))
+    return out
+
+
+def suite(bits: DataFrame, full: bool = False, alpha: float = ALPHA) -> DataFrame:
+    """(ord, name, statistic, p, passed): the eleven core diagnostics of a stream (pos, bit, walk), or all of them, in a fixed order.
+
+    Each is a few aggregates of the stored stream; only counts of classes come to the driver. Diagnostics that don't apply
+    to a stream of that length fail with p = 0; without a cycle there are no excursions.
+    """
+    spark = bits.sparkSession
     bits = stored(bits)
     n = bits.count()
-    rows: list[tuple[str, float, float]] = []
-    s = monobit(bits).first()["statistic"] or 0.0
-    rows.append(("monobit", s, math.erfc(s / math.sqrt(2))))
-    m = 128 if n < 6272 * 10 else 1000
-    f = block_frequency(bits, m).first()
-    rows.append(("block_frequency", f["statistic"] or 0.0, gamma_q((f["blocks"] or 1) / 2, (f["statistic"] or 0.0) / 2)))
-    r = runs(bits).first()
-    pi = (r["ones"] or 0) / max(n, 1)
-    rows.append(("runs", float(r["runs"] or 0), math.erfc(abs(r["runs"] - 2 * n * pi * (1 - pi)) / (2 * math.sqrt(2 * n) * pi * (1 - pi))) if r["applies"] else 0.0))
-    size = 8 if n < 6272 else 128 if n < 750_000 else 10_000
-    lo, hi = RUN_CLASSES[size]
-    got = {x["class"]: x["blocks"] for x in longest_runs(bits, size).collect()}
-    counts = [got.get(c, 0) for c in range(lo, hi + 1)]
-    x = chi_square(counts, list(RUN_MODEL[size]), sum(counts)) if sum(counts) else 0.0
-    rows.append(("longest_run", x, gamma_q((hi - lo) / 2, x / 2)))
-    for name, forward in (("cusum_forward", True), ("cusum_backward", False)):
-        z = float(cusum(bits, forward).first()["z"] or 0)
-        rows.append((name, z, cusum_p(z, n)))
-    p2, p1, p0 = (psi2(bits, k).first()["psi2"] for k in (3, 2, 1))
-    rows.append(("serial_1", p2 - p1, gamma_q(2, (p2 - p1) / 2)))
-    rows.append(("serial_2", p2 - 2 * p1 + p0, gamma_q(1, (p2 - 2 * p1 + p0) / 2)))
-    a, b = (phi(bits, k).first()["phi"] for k in (2, 3))
-    e = 2 * n * (math.log(2) - (a - b))
-    rows.append(("approximate_entropy", e, gamma_q(2, e / 2)))
-    return bits.sparkSession.createDataFrame([(k, float(v), float(p), bool(p >= alpha)) for k, v, p in rows], "name string, statistic double, p double, passed boolean")
+    p = params(n)
+    first = [_monobit(bits, n), _block_frequency(bits, n, p["block"]), _runs(bits, n), _longest(bits, n, p["longest"]), _rank(bits, n, p["rank"]), _spectral(bits)]
+    middle = [*_templates(bits, n, p["template"], p["template_block"], p["templates"]), _overlapping(bits, n, p["overlap"], p["overlap_block"]), _universal(bits, n, p["universal"]), _complexity(bits, n, p["complexity"])] if full else []
+    last = [_entropy(bits, n, p["pattern"]), *_serial(bits, n, p["pattern"]), *_cusums(bits, n)]
+    rows = [*first, *middle, *last, *(_excursions(bits) if full else [])]
+    return spark.createDataFrame([(i, k, float(v), float(q), bool(q >= alpha)) for i, (k, v, q) in enumerate(rows)], "ord int, name string, statistic double, p double, passed boolean")

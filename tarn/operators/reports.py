@@ -14,7 +14,10 @@ from tarn.session import stored
 
 OPENERS = ("for", "while", "if", "elif", "else", "case", "of", "try", "except", "finally", "when", "block")
 #: Words in a name that tell a sanitizer (fixed values).
-SANITIZERS = ("sanitize", "validate", "escape", "clean", "normalize", "check")
+SANITIZERS = ("sanitize", "sanitise", "validate", "clean", "escape", "scrub")
+#: Words of comments that mark what is unfinished, and bodies that do nothing (fixed values).
+UNFINISHED = ("todo", "fixme", "not implemented", "notimplemented", "unimplemented", "placeholder", "stub", "for now")
+NOTHING = ("discard", "nil", "void", "pass")
 #: Reported from this score on.
 PLACEHOLDER_FLOOR, PLACEHOLDER_MOST = 0.45, 0.99
 ROUNDS, CHAIN = 12, 6
@@ -72,22 +75,38 @@ def declared_role(functions: DataFrame) -> Column:
 
 
 def infer_roles(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fn_id, role, confidence): a declared role is certain; else the best of a few additive scores, unknown under 0.45."""
+    """(fn_id, role, confidence): a declared role is certain; else the best of nine additive scores, the first of equal ones, unknown under 0.45."""
     outs = edges.groupBy(F.col("caller").alias("fn_id")).agg(F.count(F.lit(1)).alias("o"))
     ins = edges.groupBy(F.col("callee").alias("fn_id")).agg(F.count(F.lit(1)).alias("i"))
-    f = functions.select("fn_id", declared_role(functions).alias("declared"), F.lower("name").alias("n"), F.size("body").alias("lines"), F.size(F.filter("body", lambda x: F.trim(x).rlike("^(if|elif|case|of|while|for) "))).alias("branches")).join(outs, "fn_id", "left").join(ins, "fn_id", "left").fillna(0, ["o", "i"])
-    has = lambda *w: F.col("n").rlike("|".join(w)).cast("double")
-    scores = {
-        "orchestrator": 0.5 * (F.col("o") >= 5).cast("double") + 0.3 * has("run", "main", "process", "handle"), "sanitizer": 0.7 * has(*SANITIZERS), "parser": 0.7 * has("parse", "decode", "read") + 0.1 * (F.col("branches") >= 3).cast("double"),
-        "datafetcher": 0.6 * has("fetch", "load", "get", "query"), "writer": 0.6 * has("write", "save", "store", "emit"), "statecontroller": 0.5 * has("state", "set", "update"), "math": 0.4 * has("calc", "compute", "sum", "mean") + 0.1 * (F.col("o") == 0).cast("double"),
-        "helper": 0.3 * (F.col("i") >= 3).cast("double") + 0.2 * (F.col("lines") <= 6).cast("double"), "leaf": 0.25 * (F.col("o") == 0).cast("double") + 0.1 * (F.col("i") >= 1).cast("double"),
-    }
-    best = F.array_max(F.array(*[F.struct(F.round(s, 6).alias("s"), F.lit(-k).alias("k"), F.lit(name).alias("r")) for k, (name, s) in enumerate(scores.items())]))
+    low = F.transform("body", lambda x: F.lower(F.trim(x)))
+    branches = F.size(F.filter(low, lambda x: x.startswith("if ") | x.startswith("elif ") | x.startswith("case ") | x.startswith("of ")))
+    params = F.filter("sockets", lambda x: x["direction"] != "out")
+    state = F.exists(params, lambda x: F.lower(F.trim(x["name"])).startswith("s") | F.contains(F.lower(F.concat_ws(":", x["name"], x["type"])), F.lit("state")))
+    state = state | F.exists(low, lambda x: F.contains(x, F.lit(".state")) | F.contains(x, F.lit("case s")))
+    f = functions.select("fn_id", declared_role(functions).alias("declared"), F.lower("name").alias("n"), F.size("body").alias("lines"), branches.alias("b"), F.coalesce(state, F.lit(False)).alias("state"))
+    f = f.join(outs, "fn_id", "left").join(ins, "fn_id", "left").fillna(0, ["o", "i"])
+    o, i, b, lines = (F.col(c) for c in ("o", "i", "b", "lines"))
+    named = lambda *w: reduce(lambda x, y: x | y, [F.contains("n", F.lit(k)) for k in w])
+    # roles in order, their conditions and weights (fixed values)
+    rules = [
+        ("helper", ((o <= 1, 0.35), (b <= 1, 0.2), (lines <= 14, 0.2), (i >= 1, 0.25))),
+        ("wrapper", ((o == 1, 0.5), (lines <= 8, 0.25), (b == 0, 0.25))),
+        ("parser", ((named("parse", "token", "scan", "decode"), 0.55), (o <= 1, 0.2))),
+        ("truthbuilder", ((named("build", "compose", "assemble", "make"), 0.5), (o >= 1, 0.2))),
+        ("datafetcher", ((named("fetch", "read", "load", "pull"), 0.55), (o <= 1, 0.2))),
+        ("actor", ((named("emit", "write", "apply", "commit", "run", "act"), 0.45), (o >= 1, 0.15))),
+        ("orchestrator", ((o >= 2, 0.4), (lines >= 8, 0.2), (b >= 1, 0.2), (i == 0, 0.2))),
+        ("metaorchestrator", ((o >= 4, 0.45), (i == 0, 0.2), (lines >= 12, 0.15))),
+        ("statecontroller", ((b >= 3, 0.5), (F.col("state"), 0.3), (o >= 1, 0.2))),
+    ]
+    scores = [(name, F.round(reduce(lambda x, y: x + y, [F.when(c, w).otherwise(0.0) for c, w in parts]), 2)) for name, parts in rules]
+    best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-k).alias("k"), F.lit(name).alias("r")) for k, (name, s) in enumerate(scores)]))
     return f.select("fn_id", F.coalesce("declared", F.when(best["s"] >= 0.45, best["r"]), F.lit("unknown")).alias("role"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(best["s"]).alias("confidence"))
 
 
 def is_sanitizer(role: Column, name: Column) -> Column:
-    return F.when(role.isin("sanitizer", "validator"), True).when(role.isNotNull() & (role != "unknown"), False).otherwise(F.lower(name).rlike("|".join(SANITIZERS)))
+    """A declared role decides; only without one, the name."""
+    return F.when(role.isNotNull() & (role != "unknown"), F.lower(role).isin("sanitizer", "decryptor", "sanitiser")).otherwise(F.lower(name).rlike("|".join(SANITIZERS)))
 
 
 def coupling(functions: DataFrame, edges: DataFrame, doors: DataFrame, guards: DataFrame, cover: DataFrame) -> DataFrame:
@@ -96,26 +115,42 @@ def coupling(functions: DataFrame, edges: DataFrame, doors: DataFrame, guards: D
     relied = near.where("guard IS NOT NULL").groupBy("guard").agg(F.count(F.lit(1)).alias("relied"))
     from tarn.functions.code import verdict
 
-    tested = cover.select(F.col("fn_id").alias("guard"), verdict(F.col("hits"), F.array_contains("kinds", "edge"), F.array_contains("kinds", "regression") | F.array_contains("kinds", "bugfix")).alias("verdict"))
+    tested = cover.select(F.col("fn_id").alias("guard"), verdict(F.col("hits"), F.array_contains("kinds", "edge case"), F.array_contains("kinds", "regression") | F.array_contains("kinds", "bugfix")).alias("verdict"))
     return near.join(relied, "guard", "left").join(tested, "guard", "left")
 
 
 def placeholder_scores(functions: DataFrame, called: DataFrame) -> DataFrame:
-    """(fn_id, score): how much a routine looks like a stand-in; called(name). Declared ones score 1."""
-    code = F.filter("body", lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
+    """(fn_id, score): how much a routine looks like a stand-in; called(name).
+
+    A declared stage scores 1, or 0 if it is done. Else 0.7 for a body that does nothing or only refuses, 0.55 for one that
+    hands back a constant, 0.3 more for a comment that marks it, 0.15 more if nothing calls it and it has 12 lines at most.
+    """
+    bare = F.transform("body", lambda x: F.trim(F.regexp_replace(F.trim(x), r'^((?:[^"#]|"[^"]*")*)#.*$', "$1")))
+    code = F.filter(bare, lambda x: x != "")
     n = F.size(code)
-    first = F.trim(F.get(code, F.lit(0)))
-    only = lambda p: (n > 0) & (F.size(F.filter(code, lambda x: ~F.trim(x).rlike(p))) == 0)
-    ins = F.filter("sockets", lambda s: s["direction"] != "out")
-    helper = F.col("name").rlike("^(init|new|default)") | F.lower("name").rlike("error|fail")
-    constant = (n == 1) & (F.size(ins) > 0) & first.rlike(r'^(return |result = )?("[^"]*"|-?[0-9.]+|true|false|nil|@\[\])$') & ~F.exists("sockets", lambda s: s["direction"] == "var") & ~helper
-    base = F.when(only("^discard$"), 0.7).when(only("^(raise|quit|doAssert false|assert false)") & ~helper, 0.7).when(constant, 0.55).otherwise(0.0)
-    todo = F.when(F.exists("body", lambda x: F.lower(x).rlike(r"\b(todo|fixme|not implemented|stub|placeholder)\b")), 0.3).otherwise(0.0)
-    small = F.when(F.col("_called").isNull() & (n <= 3) & (base > 0), 0.15).otherwise(0.0)
-    declared = F.exists("tags", lambda t: t.rlike(r"^(stage|status)?\s*:?\s*(stub|stubbed|placeholder)"))
+    every = lambda test: (n > 0) & ~F.exists(code, lambda x: ~test(x))
+    empty = every(lambda x: F.lower(x).isin(*NOTHING) | F.lower(x).startswith("discard"))
+    refuses = lambda x: x.startswith("raise ") | x.startswith("quit") | x.startswith("doAssert false")
+    ins = F.transform(F.filter("sockets", lambda x: x["direction"] != "out"), lambda x: F.trim(x["name"]))
+    uses = F.exists(ins, lambda name: (name != "") & F.exists(code, lambda x: F.array_contains(F.split(x, "[^A-Za-z0-9_]+"), name)))
+    uses = F.coalesce(uses, F.lit(False))
+    only_refuses = (n > 0) & (n <= 3) & F.exists(code, refuses) & ~F.exists(code, lambda x: ~(refuses(x) | x.startswith("discard"))) & ~uses
+    gives = F.exists(code, lambda x: x.startswith("result") | x.startswith("return"))
+    start = (F.size(ins) == 0) & F.lower("name").rlike("^(default|init)")
+    changes = F.coalesce(F.exists("sockets", lambda x: x["direction"] == "var"), F.lit(False))
+    calls = F.exists(code, lambda x: x.rlike(r"[A-Za-z_]\w*\s*\("))
+    constant = (n > 0) & (n <= 6) & gives & ~calls & ~uses & ~changes & ~start
+    base = F.when(empty, 0.7).when(only_refuses, 0.7).when(constant, 0.55).otherwise(0.0)
+    said = F.lower(F.array_join(F.transform("body", lambda x: F.regexp_extract(x, r'^(?:[^"#]|"[^"]*")*#(.*)$', 1)), " "))
+    todo = F.when(reduce(lambda a, b: a | b, [F.contains(said, F.lit(w)) for w in UNFINISHED]), 0.3).otherwise(0.0)
+    small = F.when(F.col("_called").isNull() & (F.col("decl_kind") != "method") & (n <= 12), 0.15).otherwise(0.0)
+    tags = F.transform("tags", lambda t: F.lower(F.trim(t)))
+    stage = F.get(F.filter(F.transform(tags, lambda t: F.when(t.startswith("stage:"), F.trim(F.substring(t, 7, 200))).when(t.startswith("deprecated"), "deprecated")), lambda x: x.isNotNull()), F.lit(0))
+    done = stage.isin("stdone", "done")
     c = called.select(F.lower("name").alias("_name"), F.lit(True).alias("_called")).distinct()
     x = functions.join(c, F.lower(functions["name"]) == F.col("_name"), "left")
-    return x.select("fn_id", F.when(declared, 1.0).when(n == 0, 0.0).otherwise(F.least(F.lit(PLACEHOLDER_MOST), base + todo + small)).alias("score"))
+    score = F.when(stage.isNotNull() & ~done, 1.0).when(done | (n == 0) | F.array_contains(tags, "pragma"), 0.0)
+    return x.select("fn_id", score.otherwise(F.round(F.least(F.lit(PLACEHOLDER_MOST), base + todo + small), 2)).alias("score"))
 
 
 def unused(functions: DataFrame, called: DataFrame) -> DataFrame:

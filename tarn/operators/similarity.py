@@ -21,9 +21,17 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)))
 
 
+def mixed(x: int) -> int:
+    """The finishing steps of a 64-bit generator (fixed values)."""
+    mask = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
 def signs(dims: int, bits: int = 64) -> list[list[int]]:
-    """A fixed table of -1 and 1, by a rule: parity of the bits of (dim + 1) * (bit + 1) * 2654435761."""
-    return [[1 if bin((d + 1) * (b + 1) * 2654435761 % (1 << 32)).count("1") % 2 else -1 for b in range(bits)] for d in range(dims)]
+    """-1 or 1 for each component and bit: the bits of the mixed number of the component plus a constant (fixed value)."""
+    return [[1 if mixed((d + 0x2545F4914F6CDD1D) % (1 << 64)) >> b & 1 else -1 for b in range(bits)] for d in range(dims)]
 
 
 def sign_hash(vector: Column, dims: int, bits: int = 64) -> Column:
@@ -85,9 +93,13 @@ def star_clusters(pairs: DataFrame) -> DataFrame:
     return out if out is not None else pairs.select(F.col("a").alias("centre"), F.col("b").alias("member")).limit(0)
 
 
+#: Words of names that say nothing (fixed values).
+FILLERS = ("self", "this", "true", "false", "null", "none", "undefined", "const", "string", "number", "int", "bool", "void", "return", "new", "var", "let", "len", "for", "the", "and", "not", "str", "usize")
+
+
 def split_words(name: Column, least: int = 3) -> Column:
-    """Lower-case parts of an identifier, cut at _, $, - and where a capital follows a small letter or digit."""
-    return F.filter(F.split(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), "[_$-]"), lambda w: F.length(w) >= least)
+    """Lower-case parts of an identifier, cut at _, $, - and where a capital follows a small letter or digit; short ones and fillers go."""
+    return F.filter(F.split(F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2")), "[_$-]"), lambda w: (F.length(w) >= least) & ~w.isin(*FILLERS))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from tarn.functions.code import SIGNATURES
-from tarn.operators.similarity import signs
 
 BITS = "b AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, CAST(floor(value * 100) AS BIGINT) % 2 AS bit FROM events), w AS (SELECT pos, bit, sum(2 * bit - 1) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS walk FROM b)"
 
@@ -14,19 +13,31 @@ def _q(text: str) -> str:
 
 def _classify() -> str:
     parts = []
-    for i, (lang, (strong, weak)) in enumerate(SIGNATURES.items()):
-        score = " + ".join(f"CASE WHEN contains(t, {_q(w)}) THEN {n} ELSE 0 END" for ws, n in ((strong, 3), (weak, 1)) for w in ws)
+    for i, (lang, _, strong, weak) in enumerate(SIGNATURES):
+        score = " + ".join(f"CASE WHEN contains(t, {_q(w.lower())}) THEN {n} ELSE 0 END" for ws, n in ((strong, 3), (weak, 1)) for w in ws)
         parts.append(f"SELECT page_id, {_q(lang)} AS language, {i} AS ord, {score} AS score, html FROM p")
     return f"""
     WITH p AS (SELECT page_id, lower(html) AS t, html FROM pages), s AS ({" UNION ALL ".join(parts)}),
     r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS k FROM s),
     c AS (SELECT *, list_filter(string_split(html, chr(10)), lambda x: trim(x) <> '') AS lines FROM r WHERE k = 1),
-    d AS (SELECT CASE WHEN score >= 3 THEN language WHEN len(lines) >= 2 AND 2 * len(list_filter(lines, lambda x: regexp_matches(trim(x), '[;{{}}:]$') OR contains(x, '()') OR contains(x, ' = '))) >= len(lines) THEN 'other' END AS language, score FROM c)
+    d AS (SELECT CASE WHEN score >= 3 THEN language WHEN len(lines) >= 2 AND 2 * len(list_filter(lines, lambda x: regexp_matches(trim(x), '[;{{}}:]$') OR (contains(x, '(') AND contains(x, ')')) OR contains(trim(x), ' = '))) >= len(lines) THEN 'other' END AS language, greatest(score, 3) AS score FROM c)
     SELECT language, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM d WHERE language IS NOT NULL GROUP BY language"""
 
 
+def _planes(dims: int) -> list[list[int]]:
+    """One plane a bit from the finishing steps of splitmix64, worked out apart from the library."""
+    out = []
+    for d in range(dims):
+        z = (d + 2685821657736338717) % 2**64
+        for shift, by in ((30, 13787848793156543929), (27, 10723151780598845931)):
+            z = ((z ^ (z // 2**shift)) * by) % 2**64
+        z ^= z // 2**31
+        out.append([2 * int(x) - 1 for x in reversed(f"{z:064b}")])
+    return out
+
+
 def _sign_hash() -> str:
-    rows = signs(64, 64)
+    rows = _planes(64)
     bits = " | ".join(f"(CASE WHEN list_dot_product(e, [{','.join(str(float(r[b])) for r in rows)}]::DOUBLE[]) > 0 THEN ({1 << b if b < 63 else "-9223372036854775807 - 1"})::BIGINT ELSE 0::BIGINT END)" for b in range(64))
     return f"h AS (SELECT vec_id, embedding, {bits} AS h FROM (SELECT vec_id, embedding, embedding::DOUBLE[] AS e FROM embeddings))"
 
@@ -35,8 +46,9 @@ HASHED = _sign_hash()
 PAIRS = """x AS (SELECT vec_id, embedding, h, k, CASE WHEN k = 10 THEN (h >> 60) & 15 ELSE (h >> (6 * k)) & 63 END AS bits FROM h, (SELECT unnest(range(11))::INT AS k)),
 p AS (SELECT DISTINCT l.vec_id AS a, r.vec_id AS b, bit_count(xor(l.h, r.h)) AS hamming FROM x l JOIN x r ON l.k = r.k AND l.bits = r.bits AND l.vec_id < r.vec_id WHERE bit_count(xor(l.h, r.h)) <= 20)"""
 TURNS = "t AS (SELECT conv_id, turn, role, conv_id || ':' || turn AS node, conv_id || ':' || (turn + 1) AS nxt FROM conversations), e AS (SELECT t.node AS src, u.node AS dst FROM t JOIN t u ON u.node = t.nxt)"
-LETTER = """CASE WHEN s = '' OR s LIKE '#%' THEN NULL WHEN s LIKE 'for %' THEN 'F' WHEN s LIKE 'while %' THEN 'W' WHEN s LIKE 'if %' OR s LIKE 'when %' THEN 'I' WHEN s LIKE 'elif %' OR s LIKE 'else%' THEN 'E' WHEN s LIKE 'case %' THEN 'C' WHEN s LIKE 'of %' THEN 'O'
-        WHEN s LIKE 'try%' THEN 'T' WHEN s LIKE 'except%' OR s LIKE 'finally%' THEN 'X' WHEN s LIKE 'return%' OR s LIKE 'result%' THEN 'R' WHEN s LIKE 'var %' OR s LIKE 'let %' THEN 'V' WHEN s LIKE 'assert%' OR s LIKE 'doAssert%' OR s LIKE 'raise%' THEN 'A' WHEN contains(s, '(') THEN 'K' ELSE '.' END"""
+LETTER = """CASE WHEN s = '' OR s LIKE '#%' THEN NULL WHEN s LIKE 'for %' THEN 'F' WHEN s LIKE 'while %' THEN 'W' WHEN s LIKE 'elif %' OR s LIKE 'else%' THEN 'E' WHEN s LIKE 'if %' THEN 'I' WHEN s LIKE 'case %' THEN 'C' WHEN s LIKE 'of %' THEN 'O'
+        WHEN s LIKE 'try%' OR s LIKE 'except%' OR s LIKE 'finally%' THEN 'T' WHEN s LIKE 'raise %' OR s LIKE 'quit%' THEN 'X' WHEN s LIKE 'return%' OR s LIKE 'result%' THEN 'R' WHEN s LIKE 'var %' OR s LIKE 'let %' OR s LIKE 'const %' THEN 'V'
+        WHEN contains(s, '=') AND NOT contains(s, '==') THEN 'A' WHEN contains(s, '(') THEN 'K' ELSE '.' END"""
 NORM = r"md5(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -58,7 +70,7 @@ ORACLE_SQL: dict[str, str] = {
     "unresolved": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "line_owner": "SELECT e.user_id, e.event_id, (SELECT max(s.event_id) FROM events s WHERE s.event_type = 'signup' AND s.user_id = e.user_id AND s.event_id <= e.event_id) AS owner FROM events e WHERE event_type <> 'signup'",
     "touched_findings": "SELECT user_id AS path, event_id AS line, CASE WHEN EXISTS (SELECT 1 FROM events h WHERE h.event_type = 'purchase' AND h.user_id = e.user_id AND e.event_id BETWEEN h.event_id - 50 AND h.event_id + 50) THEN 'yours' ELSE 'nearby' END AS kind FROM events e WHERE event_type = 'error'",
-    "blast_callers": """WITH RECURSIVE ps AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey % 10 = 0), e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS dst FROM ps) WHERE dst IS NOT NULL),
+    "blast_callers": """WITH RECURSIVE ps AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), e AS (SELECT DISTINCT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS dst FROM ps) WHERE dst IS NOT NULL),
         r AS (SELECT s_suppkey AS node, 0 AS depth FROM supplier WHERE s_suppkey = 50 UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 2)
         SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node HAVING min(depth) > 0""",
     "reach": f"WITH RECURSIVE {TURNS}, r AS (SELECT node AS seed, node, 0 AS depth FROM t WHERE turn = 0 UNION SELECT seed, dst, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT seed, count(*) AS reached, CAST(max(depth) AS BIGINT) AS farthest FROM r GROUP BY seed",
@@ -66,11 +78,11 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT node AS door, node, '' AS route, 0 AS hops, false AS hit FROM t WHERE role = 'user' UNION ALL SELECT door, dst, CASE WHEN route = '' THEN dst ELSE route || '>' || dst END, hops + 1, dst IN (SELECT node FROM g) FROM r JOIN e ON e.src = r.node WHERE hops < 3 AND NOT hit)
         SELECT d.node AS door, f.node AS guard, CAST(f.hops AS BIGINT) AS hops, f.route FROM (SELECT DISTINCT node FROM t WHERE role = 'user') d LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY door ORDER BY hops, node, route) AS k FROM r WHERE hit) WHERE k = 1) f ON f.door = d.node""",
     "depth_hist": f"WITH RECURSIVE {TURNS}, r AS (SELECT node AS top, node, 1 AS depth FROM t UNION ALL SELECT top, dst, depth + 1 FROM r JOIN e ON e.src = r.node) SELECT CAST(depth AS BIGINT) AS depth, count(*) AS n FROM (SELECT top, max(depth) AS depth FROM r GROUP BY top) GROUP BY 1",
-    "idf_weights": "WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM w) SELECT term, count(*) AS df, round(ln((any_value(n) + 1) / (count(*) + 1)) + 1, 6) AS weight FROM w, n GROUP BY term HAVING count(*) >= 5",
-    "word_jaccard": """WITH p AS (SELECT p_partkey, p_brand, p_size, list_filter(string_split_regex(lower(regexp_replace(replace(p_name || ' ' || p_type, ' ', '_'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_$-]'), lambda x: length(x) >= 3) AS w FROM part)
-        SELECT * FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(list_distinct(a.w), b.w)) / len(list_distinct(a.w || b.w)), 6) AS score FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey) WHERE score >= 0.5""",
+    "idf_weights": "WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM w) SELECT term, count(*) AS df, round(ln((any_value(n) + 1) / (count(*) + 1)) + 1, 6) AS weight FROM w, n GROUP BY term",
+    "word_jaccard": """WITH p AS (SELECT p_partkey, p_brand, p_size, list_filter(string_split_regex(lower(regexp_replace(replace(p_name || ' ' || p_type, ' ', '_'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_$-]'), lambda x: length(x) >= 3 AND x NOT IN ('self', 'this', 'true', 'false', 'null', 'none', 'undefined', 'const', 'string', 'number', 'int', 'bool', 'void', 'return', 'new', 'var', 'let', 'len', 'for', 'the', 'and', 'not', 'str', 'usize')) AS w FROM part)
+        SELECT * FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(list_distinct(a.w), b.w)) / len(list_distinct(a.w || b.w)), 6) AS score FROM p a JOIN p b ON a.p_partkey < b.p_partkey) WHERE score >= 0.5""",
     "twins": f"SELECT {NORM} AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "contested": "WITH w AS (SELECT DISTINCT l_suppkey AS thing, l_partkey AS writer FROM lineitem) SELECT a.thing AS a, b.thing AS b, count(*) AS shared FROM w a JOIN w b ON a.writer = b.writer AND a.thing < b.thing GROUP BY ALL HAVING count(*) >= 8",
+    "contested": "WITH w AS (SELECT DISTINCT l_suppkey AS thing, l_partkey AS writer FROM lineitem) SELECT a.thing AS a, b.thing AS b, count(*) AS shared FROM w a JOIN w b ON a.writer = b.writer AND a.thing < b.thing GROUP BY ALL HAVING count(*) >= 2",
     "neighbours": "SELECT kind, next_kind, count(*) AS n FROM (SELECT event_type AS kind, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next_kind FROM events) WHERE next_kind <> kind GROUP BY ALL",
     "first_n": "SELECT user_id, event_id, CAST(nth AS INT) AS nth, total FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE nth <= 8",
     "session_lease": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events), n AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) <= 86400000000 THEN 0 ELSE 1 END AS new FROM e),
@@ -103,15 +115,15 @@ ORACLE_SQL: dict[str, str] = {
     "psi2": f"""WITH {BITS}, n AS (SELECT count(*) AS n FROM b), c3 AS (SELECT count(*) AS c FROM b, n, b b1, b b2 WHERE b1.pos = (b.pos + 1) % n.n AND b2.pos = (b.pos + 2) % n.n GROUP BY b.bit, b1.bit, b2.bit), c2 AS (SELECT count(*) AS c FROM b, n, b b1 WHERE b1.pos = (b.pos + 1) % n.n GROUP BY b.bit, b1.bit)
         SELECT round(8.0 / sum(c) * sum(c * c) - sum(c), 6)::DOUBLE AS psi2, 3 AS m FROM c3 UNION ALL SELECT round(4.0 / sum(c) * sum(c * c) - sum(c), 6)::DOUBLE, 2 FROM c2""",
     "phi": f"WITH {BITS}, n AS (SELECT count(*) AS n FROM b), c AS (SELECT count(*) AS c FROM b, n, b b1, b b2 WHERE b1.pos = (b.pos + 1) % n.n AND b2.pos = (b.pos + 2) % n.n GROUP BY b.bit, b1.bit, b2.bit) SELECT round(sum(c / n * ln(c / n)), 6) AS phi FROM c, n",
-    "universal_fn": f"""WITH {BITS}, p AS (SELECT pos // 5 AS i, sum(bit * (1 << (4 - pos % 5)::INT)) AS pattern FROM b GROUP BY 1 HAVING count(*) = 5), g AS (SELECT i, i + 1 - coalesce(lag(i + 1) OVER (PARTITION BY pattern ORDER BY i), 0) AS gap FROM p) SELECT count(*) AS blocks, round(avg(log2(gap)), 6) AS fn FROM g WHERE i >= 100""",
+    "universal_fn": f"""WITH {BITS}, p AS (SELECT pos // 6 AS i, sum(bit * (1 << (5 - pos % 6)::INT)) AS pattern FROM b GROUP BY 1 HAVING count(*) = 6), g AS (SELECT i, i + 1 - coalesce(lag(i + 1) OVER (PARTITION BY pattern ORDER BY i), 0) AS gap FROM p) SELECT count(*) AS blocks, round(avg(log2(gap)), 6) AS fn FROM g WHERE i >= 640""",
     "overlapping_templates": f"""WITH {BITS}, h AS (SELECT pos // 128 AS block, (sum(bit) OVER (PARTITION BY pos // 128 ORDER BY pos ROWS 4 PRECEDING) = 5)::INT AS hit FROM b), k AS (SELECT sum(hit) AS hits FROM h GROUP BY block HAVING count(*) = 128) SELECT CAST(least(hits, 5) AS BIGINT) AS bin, count(*) AS blocks FROM k GROUP BY 1""",
-    "byte_bits": "WITH p AS (SELECT p_brand, unnest(range(least(64, 8 * strlen(p_brand)))) AS pos FROM part) SELECT pos, count(*) AS n, CAST(sum((ascii(p_brand[(pos // 8 + 1)::INT]) >> (7 - pos % 8)::INT) & 1) AS BIGINT) AS ones FROM p GROUP BY pos",
+    "byte_bits": "WITH p AS (SELECT p_brand, unnest(range(8 * strlen(p_brand))) AS pos FROM part) SELECT pos, count(*) AS n, CAST(sum((ascii(p_brand[(pos // 8 + 1)::INT]) >> (7 - pos % 8)::INT) & 1) AS BIGINT) AS ones FROM p GROUP BY pos",
     "sign_hashes": f"WITH {HASHED} SELECT vec_id, CAST(bit_count(h) AS INT) AS ones, h & 65535 AS low FROM h",
     "band_pairs": f"WITH {HASHED}, {PAIRS} SELECT a, b, CAST(hamming AS INT) AS hamming FROM p",
     "alike_pairs": f"WITH {HASHED}, {PAIRS} SELECT * FROM (SELECT a, b, round(greatest(0.0, 1 - list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[])), 6) AS distance FROM p JOIN embeddings l ON l.vec_id = a JOIN embeddings r ON r.vec_id = b) WHERE distance <= 0.8",
     "trace_top": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 25",
-    "setting_verdicts": "SELECT l_suppkey, reads, writes, CASE WHEN reads = 0 AND writes = 0 THEN 'untouched' WHEN reads = 0 THEN 'does nothing' WHEN writes = 0 THEN 'never set' WHEN writes >= 3 THEN 'contested' ELSE 'fine' END AS verdict FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS reads, count(*) FILTER (l_discount > 0.09::DOUBLE) AS writes FROM lineitem GROUP BY 1)",
+    "setting_verdicts": "SELECT l_suppkey, reads, writes, has_default, CASE WHEN reads = 0 AND writes = 0 THEN 'untouched' WHEN reads = 0 THEN 'does nothing' WHEN writes = 0 AND NOT has_default THEN 'never set' WHEN writes >= 3 THEN 'contested' ELSE 'fine' END AS verdict FROM (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS reads, count(*) FILTER (l_discount > 0.09::DOUBLE AND l_quantity > 40) AS writes, min(l_linenumber) = 1 AS has_default FROM lineitem GROUP BY 1)",
     "skeletons": f"WITH l AS (SELECT page_id, unnest(range(len(a))) AS n, trim(unnest(a)) AS s FROM (SELECT page_id, string_split(html, chr(10)) AS a FROM pages)), x AS (SELECT page_id, n, {LETTER} AS letter FROM l) SELECT page_id, substr(string_agg(letter, '' ORDER BY n), 1, 160) AS skeleton FROM x WHERE letter IS NOT NULL GROUP BY 1",
-    "screen_share": "SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - n_chars / 20000)), 6) AS kept, CAST(NULL AS DOUBLE) AS unmeasured FROM documents",
+    "screen_share": "SELECT doc_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - n_chars / nullif(max(CASE WHEN n_chars > 50 THEN n_chars END) OVER (PARTITION BY source), 0))), 6) AS kept FROM documents",
     "tag_rows": "SELECT conv_id, array_to_string(list_sort(list_distinct(list(lower(role)))), ',') AS tags FROM conversations GROUP BY 1",
 }

@@ -57,7 +57,7 @@ def phi(spark: SparkSession, d: str) -> DataFrame:
 
 
 def universal_fn(spark: SparkSession, d: str) -> DataFrame:
-    return bits.universal(_bits(spark, d), 5, 100)
+    return bits.universal(_bits(spark, d), 6, 640)
 
 
 def overlapping_templates(spark: SparkSession, d: str) -> DataFrame:
@@ -84,10 +84,14 @@ def bit_suite(spark: SparkSession, d: str) -> DataFrame:
     return bits.suite(_bits(spark, d))
 
 
+def bit_suite_full(spark: SparkSession, d: str) -> DataFrame:
+    return bits.suite(_bits(spark, d), full=True)
+
+
 def byte_bits(spark: SparkSession, d: str) -> DataFrame:
-    """Ones at each of the first 64 positions of the type names, most significant bit first."""
+    """Ones at each position of the brand names, most significant bit first."""
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").cast("binary").alias("bytes"))
-    return bits.from_bytes(p, "bytes", "p_partkey").where("pos < 64").groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").cast("long").alias("ones"))
+    return bits.from_bytes(p, "bytes", "p_partkey").groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.sum("bit").cast("long").alias("ones"))
 
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:

@@ -224,9 +224,9 @@ def trace_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def setting_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as settings: returned lines read them, discounted lines above 9 % write them."""
-    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("reads"), F.count_if(F.col("l_discount") > 0.09).alias("writes"))
-    return g.select("l_suppkey", "reads", "writes", code.setting_verdict(F.col("reads"), F.col("writes")).alias("verdict"))
+    """Suppliers as settings: returned lines read them, large lines with a discount above 9 % write them, a first line is their default."""
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("reads"), F.count_if((F.col("l_discount") > 0.09) & (F.col("l_quantity") > 40)).alias("writes"), (F.min("l_linenumber") == 1).alias("has_default"))
+    return g.select("l_suppkey", "reads", "writes", "has_default", code.setting_verdict(F.col("reads"), F.col("writes"), F.col("has_default")).alias("verdict"))
 
 
 def skeletons(spark: SparkSession, d: str) -> DataFrame:
@@ -236,9 +236,10 @@ def skeletons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def screen_share(spark: SparkSession, d: str) -> DataFrame:
-    """Of each document, what its source's largest one would keep of a screen of 20,000 characters without it."""
-    n = table(spark, d, "documents")
-    return n.select("doc_id", F.round(code.kept_share(F.col("n_chars"), F.lit(20_000)), 6).alias("kept"), F.round(code.kept_share(F.col("n_chars"), F.lit(0)), 6).alias("unmeasured"))
+    """Of each document, what is left of a screen as large as its source's largest one; null where no document of a source has over 50 characters."""
+    n = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    most = F.max(F.when(F.col("n_chars") > 50, F.col("n_chars"))).over(Window.partitionBy("source"))
+    return n.withColumn("screen", most).select("doc_id", F.round(code.kept_share(F.col("n_chars"), F.col("screen")), 6).alias("kept"))
 
 
 def tag_rows(spark: SparkSession, d: str) -> DataFrame:
