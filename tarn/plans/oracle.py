@@ -117,6 +117,8 @@ ORACLE_SQL: dict[str, str] = {
     "phi": f"WITH {BITS}, n AS (SELECT count(*) AS n FROM b), c AS (SELECT count(*) AS c FROM b, n, b b1, b b2 WHERE b1.pos = (b.pos + 1) % n.n AND b2.pos = (b.pos + 2) % n.n GROUP BY b.bit, b1.bit, b2.bit) SELECT round(sum(c / n * ln(c / n)), 6) AS phi FROM c, n",
     "universal_fn": f"""WITH {BITS}, p AS (SELECT pos // 6 AS i, sum(bit * (1 << (5 - pos % 6)::INT)) AS pattern FROM b GROUP BY 1 HAVING count(*) = 6), g AS (SELECT i, i + 1 - coalesce(lag(i + 1) OVER (PARTITION BY pattern ORDER BY i), 0) AS gap FROM p) SELECT count(*) AS blocks, round(avg(log2(gap)), 6) AS fn FROM g WHERE i >= 640""",
     "overlapping_templates": f"""WITH {BITS}, h AS (SELECT pos // 128 AS block, (sum(bit) OVER (PARTITION BY pos // 128 ORDER BY pos ROWS 4 PRECEDING) = 5)::INT AS hit FROM b), k AS (SELECT sum(hit) AS hits FROM h GROUP BY block HAVING count(*) = 128) SELECT CAST(least(hits, 5) AS BIGINT) AS bin, count(*) AS blocks FROM k GROUP BY 1""",
+    "non_overlapping_templates": f"""WITH {BITS}, k AS (SELECT string_agg(bit, '' ORDER BY pos) AS s FROM b GROUP BY pos // 128 HAVING count(*) = 128), t AS (SELECT unnest(range(1, 9)) AS template), h AS (SELECT template, (length(s) - length(replace(s, lpad(bin(template), 5, '0'), ''))) // 5 AS hits FROM k, t)
+        SELECT template, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(hits * hits) AS BIGINT) AS squares FROM h GROUP BY template""",
     "byte_bits": "WITH p AS (SELECT p_brand, unnest(range(8 * strlen(p_brand))) AS pos FROM part) SELECT pos, count(*) AS n, CAST(sum((ascii(p_brand[(pos // 8 + 1)::INT]) >> (7 - pos % 8)::INT) & 1) AS BIGINT) AS ones FROM p GROUP BY pos",
     "sign_hashes": f"WITH {HASHED} SELECT vec_id, CAST(bit_count(h) AS INT) AS ones, h & 65535 AS low FROM h",
     "band_pairs": f"WITH {HASHED}, {PAIRS} SELECT a, b, CAST(hamming AS INT) AS hamming FROM p",
