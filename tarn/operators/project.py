@@ -172,8 +172,7 @@ def import_depth(imports: DataFrame) -> DataFrame:
     """(module, depth) over imports(module, target) between local modules: 1 for one that imports none; modules outside count 0. Rings and what feeds on them are left to ``rings``."""
     local = imports.select("module").distinct()
     edges = imports.join(local.withColumnRenamed("module", "target"), "target", "left_semi").select(F.col("module").alias("src"), F.col("target").alias("dst")).distinct()
-    outside = imports.join(local.withColumnRenamed("module", "target"), "target", "left_anti").select("module").distinct().withColumn("_out", F.lit(True))
-    return graph.depths(local.select(F.col("module").alias("node")), edges).join(outside.withColumnRenamed("module", "node"), "node", "left").select(F.col("node").alias("module"), "depth")
+    return graph.depths(local.select(F.col("module").alias("node")), edges).select(F.col("node").alias("module"), "depth")
 
 
 def is_door(role: Column, name: Column, takes_input: Column) -> Column:

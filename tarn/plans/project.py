@@ -274,6 +274,99 @@ def input_kinds(spark: SparkSession, d: str) -> DataFrame:
     return s.select("p_partkey", lines.input_kind(F.col("s")).alias("kind"), lines.input_types(F.col("s")).alias("types"))
 
 
+GRAPH = _dual("supplier", "s_suppkey AS src", "s_suppkey * 3 % 101 AS dst")
+GRAPH_2 = _dual("supplier", "s_suppkey AS src", "(s_suppkey + 7) * 5 % 127 AS dst")
+TREE = _dual("supplier", "CAST(floor((s_suppkey + 1) / 2) AS BIGINT) AS src", "CAST(s_suppkey + 1 AS BIGINT) AS dst")
+ROLE = "CASE s_suppkey % 7 WHEN 1 THEN 'orchestrator' WHEN 2 THEN 'helper' WHEN 3 THEN 'parser' WHEN 4 THEN 'unknown' WHEN 5 THEN 'statecontroller' WHEN 6 THEN 'math' ELSE 'actor' END AS role"
+RULES = (("r1", "div", "", (), ("red",), 0.3), ("r2", "", "i2", (), ("blue", "red"), 0.1), ("r3", "", "", ("c1",), ("green",), 0.0), ("r4", "p", "", ("c1", "c2"), ("white",), 0.9), ("r5", "", "", (), ("black",), 0.05))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, GRAPH).unionByName(read(spark, d, GRAPH_2))
+
+
+def call_rings(spark: SparkSession, d: str) -> DataFrame:
+    return project.rings(_edges(spark, d))
+
+
+def longest_chains(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, TREE)
+    got = project.longest_chain(e.selectExpr("src AS node").unionByName(e.selectExpr("dst AS node")), e)
+    return got.select("node", "depth", F.array_join("chain", ">").alias("chain"))
+
+
+def import_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as modules that import two others; modules past the last are outside."""
+    s = table(spark, d, "supplier")
+    return project.import_depth(s.selectExpr("s_suppkey + 1 AS module", "s_suppkey * 2 + 2 AS target").unionByName(s.selectExpr("s_suppkey + 1 AS module", "s_suppkey * 2 + 3 AS target")))
+
+
+def orchestrator_groups(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, TREE).selectExpr("src AS caller", "dst AS callee")
+    return project.orchestrator_groups(table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS fn_id", ROLE), e)
+
+
+def graph_counts(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS fn_id", ROLE)
+    e = read(spark, d, TREE).selectExpr("src AS caller", "dst AS callee")
+    return project.graph_summary(f, project.within_tree(e, f), table(spark, d, "nation"), project.orchestrator_groups(f, e))
+
+
+def caller_reach(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS fn_id", "'n' || s_suppkey AS name", "CASE WHEN s_suppkey % 9 = 0 THEN 'tests/x' WHEN s_suppkey % 8 = 0 THEN 'examples/src/x' ELSE 'src/f' || (s_suppkey % 10) END AS path")
+    files = table(spark, d, "region").selectExpr("'src/f' || r_regionkey AS path")
+    got = project.caller_reach(project.changed_routines(f, files), read(spark, d, TREE).selectExpr("src AS caller", "dst AS callee"), f)
+    return got.select("name", "callers", F.array_join("names", ",").alias("names"))
+
+
+def file_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as files of their customers; customers call some with lower keys."""
+    f = table(spark, d, "customer").selectExpr("c_nationkey AS path", "c_custkey AS id", "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord")
+    f = f.selectExpr("*", "ord * 20 + 1 AS line_start", "ord * 20 + 18 AS line_end")
+    files = f.groupBy("path").agg((F.count(F.lit(1)) * 20).alias("lines"))
+    calls = table(spark, d, "customer").selectExpr("c_custkey AS caller", "c_custkey - 1 - c_custkey % 300 AS callee")
+    return project.cuts(files, f, calls)
+
+
+def exclusive_branches(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "orders").selectExpr("o_orderkey AS fn_id", "1 AS i", "2 + o_custkey % 3 AS j", "o_orderkey % 4 AS indent", "o_orderkey % 2 = 0 AS on_head")
+    return project.exclusive(pairs, table(spark, d, "lineitem").where("l_suppkey % 3 = 0").selectExpr("l_orderkey AS fn_id", "l_linenumber AS line", "l_partkey % 4 AS indent"))
+
+
+def element_looks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "part").selectExpr("p_brand AS page_id", "p_partkey AS idx", "CASE p_size % 3 WHEN 0 THEN 'div' WHEN 1 THEN 'p' ELSE 'a' END AS tag", "'i' || (p_partkey % 5) AS id", "CASE p_partkey % 3 WHEN 0 THEN array('c1') WHEN 1 THEN array('c2', 'c1') ELSE array('c3') END AS classes")
+    rules = spark.createDataFrame([(a, b, c, list(k), list(v), s) for a, b, c, k, v, s in RULES], "rule string, tag string, id string, classes array<string>, colours array<string>, seconds double")
+    got = project.looks(e, rules)
+    return got.select("idx", F.array_join("colours", ",").alias("colours"), "seconds", project.joined_colours(F.col("colours"), F.array(F.lit("red")), F.lit(True)).alias("joined"))
+
+
+def list_fields(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "part").selectExpr("p_partkey AS type", "'f' AS field", _case(f"p_partkey % {len(TYPES)}", TYPES) + " AS field_type")
+    return project.containers(f, "int").select("type")
+
+
+def failure_fields(spark: SparkSession, d: str) -> DataFrame:
+    fns = table(spark, d, "orders").selectExpr("o_orderkey AS fn_id", "CASE o_orderkey % 5 WHEN 0 THEN 'ref Loaded' WHEN 1 THEN 'seq[Made]' WHEN 2 THEN 'Plain' WHEN 3 THEN 'Option[Loaded]' ELSE '' END AS return_type")
+    fields = spark.createDataFrame([("Loaded", "width", 0), ("Loaded", "Reason", 2), ("Loaded", "error", 1), ("Made", "ok", 0), ("Plain", "x", 0)], "type string, field string, ord int")
+    return project.carrier_fields(fns, fields)
+
+
+def abort_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers under ten names with chains of one to five names to an abort or an exception."""
+    s = table(spark, d, "supplier")
+    e = s.selectExpr("s_suppkey AS fn_id", "'E' || (s_suppkey % 3) AS name", "CASE WHEN s_suppkey % 2 = 0 THEN 'abort' ELSE 'raise' END AS kind", "transform(sequence(1, 1 + s_suppkey % 5), x -> 'v' || (x + s_suppkey)) AS via")
+    f = s.selectExpr("s_suppkey AS fn_id", "'n' || (s_suppkey % 10) AS name")
+    far = project.abort_reach(e, f).select("name", F.lit("abort").alias("ending"), F.array_join("via", ">").alias("via"))
+    return far.unionByName(project.yields(e, f, "n3").select(F.lit("n3").alias("name"), "ending", F.array_join("via", ">").alias("via")))
+
+
+def embedded_code(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as files with a string of three lines: SQL, prose, Python, or the file's own language."""
+    body = "CASE s_suppkey % 4 WHEN 0 THEN 'select a#from t#  where x = 1' WHEN 1 THEN 'some words#and more of them#to the end' WHEN 2 THEN 'def f(self):#    self.x = None#    import os' ELSE 'function a() {#  document.x = 1;#}' END"
+    s = table(spark, d, "supplier").selectExpr("'x' || s_suppkey || '.js' AS path", f"split('const q = `#' || {body} || '#`; let y = 2;#let z = `one`;#', '#') AS t")
+    return project.embedded(s.select("path", F.posexplode("t").alias("n", "text")).selectExpr("path", "CAST(n AS BIGINT) + 1 AS line", "text"))
+
+
 def _top(name: str, spark: SparkSession, d: str) -> DataFrame:
     order, _ = ranking.ORDERS[name]
     columns = [c[0] if isinstance(c, tuple) else c.lstrip("-") for c in order]
@@ -298,7 +391,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         called_names, passed_and_dotted, raises_and_pragmas, branch_census, platform_lines, unsafe_lines, input_routines, top_level, code_lengths, file_rows, nest_totals, refused, contested_settings, argument_evidence, use_kinds,
         sample_values, symbol_names, test_kinds, role_labels, stable_ids, setting_types, library, orphans, hot_files, elapsed, outermost, cheap_pairs, barriers, spec_names, inlined, names_in_use, type_radius, scatter_merged,
-        unused_imports, ignored, doors, input_kinds,
+        unused_imports, ignored, doors, input_kinds, call_rings, longest_chains, import_depths, orchestrator_groups, graph_counts, caller_reach, file_cuts, exclusive_branches, element_looks, list_fields, failure_fields,
+        abort_ways, embedded_code,
     )
 }
 QUERIES |= {f"top_{name}": partial(_top, name) for name in ranking.ORDERS}
@@ -359,4 +453,27 @@ ORACLE_SQL: dict[str, str] = {
     "doors": f"WITH {BASE} SELECT fn_id, role <> 'Sanitizer' AND (is_input OR role = 'data_fetcher') AS door FROM r",
     "input_kinds": f"SELECT p_partkey, CASE p_partkey % {len(TYPES)} WHEN 3 THEN 3 WHEN 1 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 8 THEN 2 WHEN 11 THEN 2 ELSE 1 END AS kind, {_listed(('int', 'seq[int]', 'option[string]', 'float', 'seq[seq[bool]]', 'table[string,int]', 'node', 'node', 'array[3,int]', 'set[char]', '', 'seq[option[char]]', 'option[]', 'jsonnode'), 'types')} FROM part",
 }
+ROLES = f"f AS (SELECT CAST(s_suppkey AS BIGINT) AS fn_id, {ROLE} FROM supplier), t AS ({sql(TREE)})"
+GROUPED = f"""{ROLES}, g AS (SELECT fn_id AS head, fn_id AS node FROM f WHERE role = 'orchestrator' UNION SELECT g.head, t.dst FROM g JOIN t ON t.src = g.node JOIN f ON f.fn_id = t.dst WHERE f.role NOT IN ('orchestrator', 'statecontroller')), m AS (SELECT head, node FROM g JOIN f ON f.fn_id = node WHERE head <> node AND role IN ('helper', 'parser', 'actor', 'math'))"""
+_STYLE = ", ".join(f"('{a}', '{b}', '{c}', {list(k)}::VARCHAR[], {list(v)}::VARCHAR[], {s}::DOUBLE)" for a, b, c, k, v, s in RULES)
+ORACLE_SQL |= {
+    "call_rings": f"WITH RECURSIVE e AS ({sql(GRAPH)} UNION {sql(GRAPH_2)}), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT a.src AS node, least(a.src, min(a.dst)) AS ring FROM c a JOIN c b ON a.dst = b.src AND b.dst = a.src GROUP BY a.src",
+    "longest_chains": f"WITH RECURSIVE e AS ({sql(TREE)}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node AS top, node, 1 AS depth, [node::VARCHAR] AS chain FROM n UNION ALL SELECT top, dst, depth + 1, list_append(chain, dst::VARCHAR) FROM c JOIN e ON e.src = c.node) SELECT top AS node, CAST(max(depth) AS BIGINT) AS depth, array_to_string(arg_min(chain, (-depth, chain)), '>') AS chain FROM c GROUP BY top",
+    "import_depths": "WITH RECURSIVE i AS (SELECT s_suppkey + 1 AS module, s_suppkey * 2 + 2 AS target FROM supplier UNION ALL SELECT s_suppkey + 1, s_suppkey * 2 + 3 FROM supplier), c AS (SELECT s_suppkey + 1 AS top, s_suppkey + 1 AS module, 1 AS depth FROM supplier UNION ALL SELECT top, target, depth + 1 FROM c JOIN i USING (module) WHERE target IN (SELECT s_suppkey + 1 FROM supplier)) SELECT top AS module, CAST(max(depth) AS BIGINT) AS depth FROM c GROUP BY top",
+    "orchestrator_groups": f'WITH RECURSIVE {GROUPED} SELECT DISTINCT head AS "group", node AS member FROM m',
+    "graph_counts": f"WITH RECURSIVE {GROUPED} SELECT 'functions' AS what, count(*) AS n FROM f UNION ALL SELECT 'edges', count(*) FROM t WHERE src IN (SELECT fn_id FROM f) AND dst IN (SELECT fn_id FROM f) UNION ALL SELECT 'unresolved', count(*) FROM nation UNION ALL SELECT 'groups', count(DISTINCT head) FROM m UNION ALL SELECT 'role ' || role, count(*) FROM f GROUP BY role",
+    "caller_reach": f"""WITH RECURSIVE t AS ({sql(TREE)}), f AS (SELECT CAST(s_suppkey AS BIGINT) AS fn_id, 'n' || s_suppkey AS name, s_suppkey % 9 <> 0 AND s_suppkey % 8 <> 0 AND s_suppkey % 10 < 5 AS hit FROM supplier), c AS (SELECT name, fn_id AS top, fn_id AS node, 0 AS hops FROM f WHERE hit UNION SELECT name, top, src, hops + 1 FROM c JOIN t ON t.dst = c.node WHERE hops < 3)
+        SELECT c.name, count(DISTINCT node) AS callers, array_to_string(list_sort(list_distinct(list(f.name)))[1:5], ',') AS names FROM c JOIN f ON f.fn_id = node WHERE node <> top GROUP BY c.name""",
+    "file_cuts": """WITH f AS (SELECT c_nationkey AS path, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord FROM customer), n AS (SELECT path, count(*) AS n FROM f GROUP BY path HAVING count(*) >= 35), k AS (SELECT f.path, ord AS cut, n FROM f JOIN n USING (path) WHERE ord >= greatest(2, n * 30 // 100) AND ord <= n - greatest(2, n * 30 // 100) AND least(ord * 20 - 2, (n - ord) * 20 - 2) >= n * 20 * 30 // 100),
+        c AS (SELECT a.path, b.id, b.ord AS pos, max(a.ord) AS last FROM f a JOIN f b ON b.id = a.id - 1 - a.id % 300 AND a.path = b.path AND a.ord > b.ord GROUP BY 1, 2, 3), w AS (SELECT k.path, cut, (SELECT count(*) FROM c WHERE c.path = k.path AND pos < cut AND last >= cut) AS waist FROM k), b AS (SELECT path, arg_min(cut, (waist, cut)) AS above, min(waist) AS waist FROM w GROUP BY path)
+        SELECT path, above, above * 20 + 1 AS line, waist FROM b WHERE waist <= 12 AND waist * 100 <= above * 40""",
+    "exclusive_branches": "SELECT fn_id, i, j FROM (SELECT o_orderkey AS fn_id, 1 AS i, 2 + o_custkey % 3 AS j, o_orderkey % 4 AS indent, o_orderkey % 2 = 0 AS on_head FROM orders) p WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey % 3 = 0 AND l_orderkey = fn_id AND l_linenumber > i AND l_linenumber <= j AND (l_partkey % 4 < indent OR (on_head AND l_partkey % 4 = indent)))",
+    "element_looks": f"""WITH r(rule, tag, id, classes, colours, seconds) AS (VALUES {_STYLE}), e AS (SELECT p_partkey AS idx, CASE p_size % 3 WHEN 0 THEN 'div' WHEN 1 THEN 'p' ELSE 'a' END AS tag, 'i' || (p_partkey % 5) AS id, CASE p_partkey % 3 WHEN 0 THEN ['c1'] WHEN 1 THEN ['c2', 'c1'] ELSE ['c3'] END AS classes FROM part),
+        m AS (SELECT idx, list_sort(list_distinct(flatten(list(r.colours)))) AS c, max(seconds) AS seconds FROM e JOIN r ON (r.tag = '' OR r.tag = e.tag) AND (r.id = '' OR r.id = e.id) AND list_has_all(e.classes, r.classes) GROUP BY idx) SELECT idx, array_to_string(c, ',') AS colours, seconds, list_contains(c, 'red')::INT::DOUBLE AS joined FROM m""",
+    "list_fields": f"SELECT p_partkey AS type FROM part WHERE p_partkey % {len(TYPES)} IN (1, 5, 8)",
+    "failure_fields": "SELECT o_orderkey AS fn_id, CASE WHEN o_orderkey % 5 = 1 THEN 'ok' ELSE 'error' END AS field FROM orders WHERE o_orderkey % 5 IN (0, 1, 3)",
+    "abort_ways": """WITH e AS (SELECT 'n' || (s_suppkey % 10) AS name, 'E' || (s_suppkey % 3) AS ending, CASE WHEN s_suppkey % 2 = 0 THEN 'abort' ELSE 'raise' END AS kind, list_transform(range(1, 2 + s_suppkey % 5), lambda x: 'v' || (x + s_suppkey)) AS via FROM supplier)
+        SELECT name, 'abort' AS ending, array_to_string(arg_min(via, (len(via), via)), '>') AS via FROM e WHERE kind = 'abort' AND len(via) >= 3 GROUP BY name UNION ALL SELECT 'n3', ending, array_to_string(arg_min(via, (len(via), via)), '>') FROM e WHERE name = 'n3' GROUP BY kind, ending""",
+    "embedded_code": "SELECT 'x' || s_suppkey || '.js' AS path, 1 AS line, 3 AS lines, CASE WHEN s_suppkey % 4 = 0 THEN 'sql' ELSE 'python' END AS language, CASE WHEN s_suppkey % 4 = 0 THEN 4 ELSE 8 END AS score FROM supplier WHERE s_suppkey % 2 = 0",
+}
 ORACLE_SQL |= {f"top_{name}": _top_sql(name) for name in ranking.ORDERS}
