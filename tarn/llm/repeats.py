@@ -24,6 +24,9 @@ from tarn.llm.text import _BYTE, POWERS, U64, cut, flat, mix
 LENGTH, GRAM = 50, 20
 #: Texts are scanned in runs of about this many bytes, and a shard's suffixes sorted in lots of about so many.
 SCAN_BYTES, LOT_BYTES = 1 << 19, 4_000_000
+#: Bytes of different texts for each shard. An anchor that more places share than HOT is dealt out by what stands beside it.
+SHARD_BYTES, HOT = 8 << 20, 20_000
+_HOT = U64(1 << 63)
 
 
 def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -113,13 +116,16 @@ def _shared(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
         u = unit[order]
         two = np.minimum.reduceat(u, begin) != np.maximum.reduceat(u, begin)
         dup = np.empty(len(code), dtype=bool)
-        dup[order] = np.repeat(two, np.diff(np.r_[begin, len(code)]))
-        unit, code = unit[dup], code[dup]
+        many = np.diff(np.r_[begin, len(code)])
+        dup[order] = np.repeat(two, many)
+        hot = np.empty(len(code), dtype=bool)
+        hot[order] = np.repeat(many > HOT, many)
+        unit, code, hot = unit[dup], code[dup], hot[dup]
         rows = []
         for to, at in _split((unit.view(U64) % U64(shards)).astype(np.int64), shards):
             at = at[np.argsort(unit[at], kind="stable")]
             r, many = _runs(unit[at])
-            rows.append((to, r.tobytes(), many.tobytes(), ((np.uint64(k) << U64(32)) | code[at]).tobytes()))
+            rows.append((to, r.tobytes(), many.tobytes(), ((np.uint64(k) << U64(32)) | code[at] | np.where(hot[at], _HOT, U64(0))).tobytes()))
         return pa.Table.from_batches([_batch(packed, rows)])
 
     def back(group: pa.Table) -> pa.Table:
@@ -130,13 +136,13 @@ def _shared(docs: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
         at = np.r_[0, np.cumsum(many)]
         return pa.table({"unit": pa.array(r, pa.int64()), "codes": pa.array([np.unique(code[p:q]).tobytes() for p, q in zip(at, at[1:], strict=False)], pa.binary())})
 
-    met = docs.select("unit", "_text").mapInArrow(scan, kind).groupBy("shard").applyInArrow(meet, kind)
-    return written(met.groupBy("shard").applyInArrow(back, "unit long, codes binary"), "shared-anchors")
+    met = _dealt(docs.select("unit", "_text").mapInArrow(scan, kind), shards).groupBy("shard").applyInArrow(meet, kind)
+    return written(_dealt(met, shards).groupBy("shard").applyInArrow(back, "unit long, codes binary"), "shared-anchors")
 
 
 def _covered(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     """(unit, spans) of owners' texts: the bytes, as (start, end) pairs, that strings of texts with smaller ids cover."""
-    before, after = length - gram, length
+    before, after, side = length - gram, length, (length - gram) // 2
     packed = pa.schema([("shard", pa.int32()), ("code", pa.binary()), ("context", pa.binary()), ("sizes", pa.binary()), ("bytes", pa.binary()), ("member", pa.binary()), ("unit", pa.binary()), ("owner", pa.binary()), ("start", pa.binary())])
     kind = "shard int, code binary, context binary, sizes binary, bytes binary, member binary, unit binary, owner binary, start binary"
 
@@ -153,10 +159,19 @@ def _covered(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame
                 of, code = _keys(h, shards)
                 key = (of.astype(U64) << U64(32)) | code
                 first = np.searchsorted(row, np.arange(j - i + 1))
-                hit = np.concatenate([np.zeros(0, dtype=bool), *[_within(key[p:q], asked[i + r]) for r, (p, q) in enumerate(zip(first, first[1:], strict=False))]])
-                at, row = at[hit] + offsets[i], row[hit] + i
+                met = lambda k: np.concatenate([np.zeros(0, dtype=bool), *[_within(k[p:q], asked[i + r]) for r, (p, q) in enumerate(zip(first, first[1:], strict=False))]])
+                some = any(len(x) and x[-1] >= _HOT for x in asked[i:j])
+                hit, hot = met(key), met(key | _HOT) if some else np.zeros(len(key), dtype=bool)
+                h, at, row = h[hit | hot], at[hit | hot] + offsets[i], row[hit | hot] + i
+                of, code, hot = of[hit | hot], code[hit | hot], hot[hit | hot]
                 lo, hi = np.maximum(at - before, offsets[row]), np.minimum(at + after, offsets[row + 1])
-                parts.append((of[hit], code[hit], row, lo, hi, _hashed(data, lo, hi)))
+                context = _hashed(data, lo, hi)
+                parts.append(tuple(x[~hot] for x in (of, code, row, lo, hi, context)))
+                # equal strings reach ``side`` bytes beyond the anchor to the left or to the right, so each side is a key
+                for name, a, z in ((1, at - side, at), (2, at + gram, at + gram + side)) if hot.any() else ():
+                    k = hot & (a >= offsets[row]) & (z <= offsets[row + 1])
+                    of2, code2 = _keys(mix(h[k] ^ _hashed(data, a[k], z[k]) ^ U64(name)), shards)
+                    parts.append((of2, code2, row[k], lo[k], hi[k], mix(context[k] + U64(name))))
             if not parts:
                 continue
             of, code, row, lo, hi, context = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -208,8 +223,13 @@ def _covered(texts: DataFrame, shards: int, length: int, gram: int) -> DataFrame
         at = np.r_[0, np.cumsum(many)]
         return pa.table({"unit": pa.array(names, pa.int64()), "spans": pa.array([_merged(s[p:q], e[p:q]).tobytes() for p, q in zip(at, at[1:], strict=False)], pa.binary())})
 
-    found = texts.mapInArrow(send, kind).groupBy("shard").applyInArrow(find, "shard int, unit binary, start binary, end binary")
-    return written(found.groupBy("shard").applyInArrow(gather, "unit long, spans binary"), "spans")
+    found = _dealt(texts.mapInArrow(send, kind), shards).groupBy("shard").applyInArrow(find, "shard int, unit binary, start binary, end binary")
+    return written(_dealt(found, shards).groupBy("shard").applyInArrow(gather, "unit long, spans binary"), "spans")
+
+
+def _dealt(df: DataFrame, shards: int) -> DataFrame:
+    """Rows by shard in as many partitions as there are shards, so that a task's share does not grow with the input."""
+    return df.repartition(min(shards, 1 << 16), "shard")
 
 
 def _within(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -288,12 +308,21 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     smaller id has; an empty table gives none; other columns are not looked at.
     """
     spark = docs.sparkSession
-    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     text, last = text_or_empty(text_col), (1 << 63) - 1
     whole = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("place"), text.alias("_text")).withColumn("sha", F.sha2("_text", 256))
-    whole = whole.withColumn("unit", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
-    rows = written(whole.select("_id", "place", "sha", "unit", F.octet_length("_text").cast("long").alias("n_bytes")), "rows")
-    owners = written(rows.groupBy("sha", "unit").agg(F.min("place").alias("owner")), "owners")
+    half = lambda k: F.conv(F.substring("sha", k, 8), 16, 10).cast("long")
+    named = lambda df, clash: df.withColumn("unit", F.when(F.col("sha").isin(*clash), F.shiftleft(half(17), 32).bitwiseOR(half(25))).otherwise(F.shiftleft(half(1), 32).bitwiseOR(half(9))))
+    facts = written(whole.select("_id", "place", "sha", F.octet_length("_text").cast("long").alias("n_bytes")), "rows")
+    owners = written(named(facts, [""]).groupBy("sha", "unit").agg(F.min("place").alias("owner"), F.first("n_bytes").alias("_n")), "owners")
+    # different texts whose digests begin with the same 64 bits: fewer than ten are to be expected of 10**10; they take the next 64
+    twice = owners.groupBy("unit").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("unit")
+    clash = [r["sha"] for r in owners.join(twice, "unit", "left_semi").select("sha").collect()]
+    if clash:
+        owners = written(named(owners, clash), "owners")
+    whole, rows = named(whole, clash or [""]), facts.select("_id", "place", "sha", "n_bytes")
+    total = owners.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    owners = owners.drop("_n")
+    shards = max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     shared = _shared(whole, shards, length, min(GRAM, length))
     release(spark)
     wanted = shared.join(owners, "unit").select("owner", "unit", "codes")
