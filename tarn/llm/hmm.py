@@ -239,14 +239,20 @@ class Hmm:
             out[part] = got
         return out
 
-    def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts of first states, steps and emissions, and the log10 likelihood."""
+    def expected(self, sequences: list[np.ndarray], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
+        """Expected counts of first states, steps and emissions, the log10 likelihood, and the states after each sequence.
+
+        With ``before``, the states after what precedes each sequence, they go on from there: the step across counts, and
+        none is a first state.
+        """
         k = len(self.first)
         first, step, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape), 0.0
-        for _, ids, alive in _steps(sequences):
+        after = np.zeros((len(sequences), k))
+        for part, ids, alive in _steps(sequences):
             alphas, scales, a = [], [], None
+            begin = self.first if before is None else before[part] @ self.step
             for t, n in enumerate(alive):
-                a = (self.first if a is None else a[:n] @ self.step) * self.emit[ids[t]]
+                a = (begin if a is None else a[:n] @ self.step) * self.emit[ids[t]]
                 s = a.sum(1)
                 a = a / s[:, None]
                 alphas.append(a)
@@ -263,11 +269,16 @@ class Hmm:
                     now[:m] = ahead @ self.step.T
                 gammas[t] = alphas[t] * now
                 beta = now
-            first += gammas[0].sum(0)
+            if before is None:
+                first += gammas[0].sum(0)
+            else:
+                step += self.step * (before[part].T @ (self.emit[ids[0]] * beta / scales[0][:, None]))
+            for a, n, m in zip(alphas, alive, [*alive[1:], 0], strict=True):
+                after[part[m:n]] = a[m:n]
             x, g = np.concatenate(ids), np.concatenate(gammas)
             for j in range(k):
                 emit[:, j] += np.bincount(x, weights=g[:, j], minlength=len(emit))
-        return first, step, emit, total
+        return first, step, emit, total, after
 
 
 def _steps(sequences: list[np.ndarray], cells: int = 400_000) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[int]]]:
@@ -288,7 +299,10 @@ def _steps(sequences: list[np.ndarray], cells: int = 400_000) -> Iterator[tuple[
 
 
 def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch over all training texts, cut into segments of SEGMENT symbols.
+    """Baum-Welch over all training texts, SEGMENT symbols at a time.
+
+    A segment begins with the states that the text has come to, and the step across counts; only what lies ahead of a
+    segment does not speak for the states in it.
 
     Each task sums the expected counts of its segments and returns them by symbol; Spark adds them, so what reaches the
     driver is one row for each symbol. Emissions are smoothed by the unigram distribution.
@@ -309,9 +323,12 @@ def train(encoded: DataFrame, vocab: Vocabulary, states: int = STATES, rounds: i
             for b in batches:
                 column = b.column(0)
                 for i in range(0, len(column), 2048):
-                    whole = [np.frombuffer(x, dtype=np.int16) for x in column[i : i + 2048].to_pylist()]
-                    f, s, e, _ = m.expected([x[p : p + SEGMENT] for x in whole for p in range(0, len(x), SEGMENT)])
-                    first, step, emit = first + f, step + s, emit + e
+                    left, before = [np.frombuffer(x, dtype=np.int16) for x in column[i : i + 2048].to_pylist()], None
+                    while left:
+                        f, s, e, _, after = m.expected([x[:SEGMENT] for x in left], before)
+                        first, step, emit = first + f, step + s, emit + e
+                        on = [k for k, x in enumerate(left) if len(x) > SEGMENT]
+                        left, before = [left[k][SEGMENT:] for k in on], after[on]
             rows = np.concatenate([emit, step, first[None]])
             at = np.flatnonzero(rows.sum(1) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(rows[at, j]) for j in range(states)]], names=kind.names)

@@ -443,6 +443,20 @@ def test_op9_forward_is_exact():
     assert better.expected(seqs)[3] >= before[3]
 
 
+def test_op9_segments_go_on_where_the_text_has_come_to():
+    rng = np.random.default_rng(3)
+    m = hmm.Hmm(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T)
+    seqs = [rng.integers(0, 5, n) for n in (1, 4, 7, 8, 23, 12)]
+    total, first, step, emit, left, before = 0.0, 0.0, 0.0, 0.0, list(seqs), None
+    while left:
+        f, s, e, t, after = m.expected([x[:4] for x in left], before)
+        total, first, step, emit = total + t, first + f.sum(), step + s.sum(), emit + e.sum()
+        on = [k for k, x in enumerate(left) if len(x) > 4]
+        left, before = [left[k][4:] for k in on], after[on]
+    assert total == pytest.approx(m.log10(seqs).sum())  # the likelihood of whole texts
+    assert first == pytest.approx(len(seqs)) and emit == pytest.approx(sum(map(len, seqs))) and step == pytest.approx(sum(len(x) - 1 for x in seqs))
+
+
 def test_op10_suffix_array():
     rng = random.Random(1)
     for _ in range(60):
@@ -456,8 +470,10 @@ def test_op10_suffix_array():
         assert list(suffixes.suffix_array(text)) == sorted(range(len(text)), key=lambda i: key[i:])
 
 
-@pytest.mark.parametrize("length", [50, 12])
-def test_op10_matches_brute_force(docs, length):
+@pytest.mark.parametrize(("length", "hot"), [(50, 20_000), (12, 20_000), (50, 1), (13, 1)])
+def test_op10_matches_brute_force(docs, length, hot, monkeypatch):
+    """With hot = 1 all anchors that texts share are dealt out by what stands beside them."""
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows = collected(docs)
     place = lambda r: 1 << 62 if r["doc_id"] is None else r["doc_id"]
     first = {}
@@ -479,6 +495,16 @@ def test_op10_matches_brute_force(docs, length):
     assert got == sorted(want) and sum(w[2] for w in want) > 1000
 
 
+def test_op10_shards_grow_with_the_bytes(docs, monkeypatch):
+    seen = []
+    shared = repeats._shared
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(repeats, "_shared", lambda d, shards, *a: seen.append(shards) or shared(d, shards, *a))
+    repeats.strip_repeats(docs.limit(30)).count()
+    different = {r["text"] or "" for r in docs.limit(30).collect()}
+    assert seen[0] == max(8, -(-sum(len(x.encode()) for x in different) // 1000))
+
+
 def test_empty_tables(docs, spark):
     none = docs.limit(0)
     assert ngram_join.similar_sets(none).count() == 0 and hilbert.hilbert_shards(none).count() == 0
