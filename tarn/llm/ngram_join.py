@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
-from tarn.llm.shared import bit_filter, drop, path_of, release, without, written
+from tarn.llm.shared import bit_filter, drop, path_of, release, small_batches, without, written
 from tarn.llm.text import U64, cut, distinct, flat, mix, windows, words
 
 #: Counters that estimate how often shingles occur; they only set the order, so that collisions cost time, never links.
@@ -429,7 +429,11 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     Returns, for each row: id_col, n_shingles, component_id (the smallest id of the class; null ids don't count). A null
     text is an empty one; repeated rows are copies; an empty table gives none; other columns are not looked at.
     """
-    thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    with small_batches(docs.sparkSession):
+        return _similar_sets(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), n, percent, id_col)
+
+
+def _similar_sets(thin: DataFrame, n: int, percent: int, id_col: str) -> DataFrame:
     bits = counter_bits(thin)
     sets = _sets_and_counters(thin, n, bits)
     rows = sets.where(F.col("chunk").isNull()).select("_id", "n", "sid", "sid2")

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import drop, path_of, release, text_or_empty, written
+from tarn.llm.shared import drop, path_of, release, small_batches, text_or_empty, written
 from tarn.llm.suffixes import joined, permuted_reach, suffix_array
 from tarn.llm.text import _BYTE, POWERS, U64, cut, flat, mix
 
@@ -307,6 +307,11 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     larger than all others and no smaller than itself; rows of equal id never strip each other, but both lose what a
     smaller id has; an empty table gives none; other columns are not looked at.
     """
+    with small_batches(docs.sparkSession):
+        return _strip_repeats(docs, length, id_col, text_col)
+
+
+def _strip_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     text, last = text_or_empty(text_col), (1 << 63) - 1
     whole = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("place"), text.alias("_text")).withColumn("sha", F.sha2("_text", 256))

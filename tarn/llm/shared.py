@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +80,18 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "16m") -> Iterator[None]:
+    """Arrow batches of this many bytes at most for what is computed inside: a task holds a few of them, in Spark and in Python, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def weight(df: DataFrame) -> int:
     """About the bytes that a table's rows take in memory: eight for each number and word of a row, and what strings and arrays hold."""
 
