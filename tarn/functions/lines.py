@@ -130,7 +130,7 @@ def is_setting_type(name: Column, declaration: Column | None = None) -> Column:
 
 def built_in(line: Column, kind: Column, field: Column) -> Column:
     """Whether a line sets a field by building the whole object."""
-    return line.rlike(F.concat(kind, F.lit(r"\((|.*[^\w.])"), field, F.lit(":")))
+    return F.rlike(line, F.concat(kind, F.lit(r"\((|.*[^\w.])"), field, F.lit(":")))
 
 
 def refuses(line: Column) -> Column:

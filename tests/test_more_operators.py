@@ -43,7 +43,7 @@ def test_families(spark):
     text = "".join(one.format(n=n, v=v) for n, v in (("sumSmall", 1), ("sumBig", 2), ("sumHuge", 3))) + "proc other() =\n  discard\n"
     fns = routines.functions(spark.createDataFrame([("a.nim", text)], "path string, content string"))
     s = families.shapes(fns).cache()
-    assert {r["name"]: r["skeleton"] for r in s.collect()}["sumBig"] == "VF.I.R"
+    assert {r["name"]: r["skeleton"] for r in s.collect()}["sumBig"] == "VFAIAR"
     fam = families.families(s).collect()
     assert len(fam) == 1 and len(fam[0]["members"]) == 3 and fam[0]["agreement"] == 1.0 and fam[0]["varying"] == 0
     assert families.duplicates(s).count() == 3
