@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` computed once, as Parquet under spark.checkpoint.dir (a temporary folder only where that is unset)."""
+    """``df`` computed once, as Parquet under spark.checkpoint.dir (a temporary folder only where that is unset on one machine)."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tarn-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/tarn/{uuid.uuid4().hex}"
