@@ -24,9 +24,11 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset on one machine, as in tests, a temporary folder."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = "file://" + tempfile.mkdtemp(prefix="tarn-")
         spark.conf.set("spark.checkpoint.dir", got)
         _delete_at_exit(spark, got)
