@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.plans import oracle, project, streams, tables
+from tarn.plans import alike, oracle, project, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,8 @@ _STREAMS = (
     " non_overlapping_templates rank_test linear_complexity spectral bit_suite bit_suite_full byte_bits sign_hashes band_pairs alike_pairs clusters dup_lcs"
 )
 
-QUERIES: dict[str, Query] = {n: getattr(m, n) for m, names in ((tables, _TABLES), (streams, _STREAMS)) for n in names.split()} | project.QUERIES
-ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | project.ORACLE_SQL
+QUERIES: dict[str, Query] = {n: getattr(m, n) for m, names in ((tables, _TABLES), (streams, _STREAMS)) for n in names.split()} | project.QUERIES | alike.QUERIES
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL | project.ORACLE_SQL | alike.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 

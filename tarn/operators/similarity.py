@@ -63,9 +63,13 @@ def band_pairs(items: DataFrame, key: str, hash_: str, bits: int = 20, most: int
     sizes = banded.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("size"))
     kept = banded if most is None else banded.join(sizes.where(F.col("size") <= most).select("band", "bits"), ["band", "bits"], "left_semi")
     other = kept.select(F.col("a").alias("b"), F.col("ha").alias("hb"), "band", "bits")
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    pairs = kept.join(other, ["band", "bits"]).where((F.col("a") < F.col("b")) & (distance <= bits)).select("a", "b", distance.alias("hamming")).distinct()
-    return pairs, sizes.limit(0) if most is None else sizes.where(F.col("size") > most)
+    differ = F.col("ha").bitwiseXOR(F.col("hb"))
+    met = kept.join(other, ["band", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits))
+    pairs = lambda x: x.select("a", "b", F.bit_count(differ).alias("hamming"))
+    if most is not None:  # the first common bucket may be a skipped one
+        return pairs(met).distinct(), sizes.where(F.col("size") > most)
+    first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, k * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)) == 0, k) for k in range(BANDS)])
+    return pairs(met.where(F.col("band") == first)), sizes.limit(0)
 
 
 def star_clusters(pairs: DataFrame) -> DataFrame:
