@@ -68,3 +68,14 @@ def test_band_pairs_compares_large_buckets(spark):
     assert {(r["a"], r["b"]) for r in pairs.collect()} == want and skipped.count() == 0
     few, skipped = similarity.band_pairs(items, "id", "h", most=3000)
     assert few.count() < len(want) and [r["size"] for r in skipped.collect()] == [3100]
+
+
+def test_word_jaccard_deals_out_copies(spark, tmp_path):
+    parts = [(i, ("hot ring", "old ring", "blue bolt")[i % 3 if i < 30 else 0], "LARGE") for i in range(2300)]  # more copies than a block holds
+    d = tables_in(spark, tmp_path, part=(parts, "p_partkey long, p_name string, p_type string"))
+    q = tables.word_jaccard(spark, d)
+    assert "explode(ids_b" in q._jdf.queryExecution().toString()  # lists of members are opened after all joins
+    n = {w: sum(p[1] == w for p in parts) for w in ("hot ring", "old ring", "blue bolt")}
+    same = sum(k * (k - 1) // 2 for k in n.values())
+    got = {r["score"]: r["n"] for r in q.groupBy("score").count().withColumnRenamed("count", "n").collect()}
+    assert got == {1.0: same, 0.5: n["hot ring"] * n["old ring"]} and q.where("a >= b").count() == 0 and q.select("a", "b").distinct().count() == sum(got.values())
